@@ -67,12 +67,14 @@ def equal_text_groups(
         ),
         "exact-hashed",
     )
-    groups = (
+    # written, so that both sides of the join below are dealt anew and a hot group of copies can be split
+    groups = staged(
         hashed.filter("survives")
         .groupBy("text_sha256")
         .agg(F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id")).alias("best"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select(F.col("text_sha256").alias("key"), F.col("best.doc_id").alias("keep_id"), "n", F.col("best.less").alias("less"))
+        .select(F.col("text_sha256").alias("key"), F.col("best.doc_id").alias("keep_id"), "n", F.col("best.less").alias("less")),
+        "exact-groups",
     )
     copies = hashed.filter("survives").join(groups, F.col("text_sha256") == F.col("key"), "left")
     stays = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == -F.col("less")))
