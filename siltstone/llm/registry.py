@@ -1,10 +1,12 @@
 """The corpus queries and their SQL."""
 
-from . import exact, sharding
+from . import exact, packing, sharding, token_files
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.op1_hash_tree_shards,
+    "op3_token_files": token_files.op3_token_files,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op10_power_of_two_packing": packing.op10_power_of_two_packing,
 }
 
 ORACLES = {
