@@ -8,6 +8,7 @@ tokenizers library, and the ids of a text are the joined ids of its pieces: the
 from __future__ import annotations
 
 import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,6 +21,13 @@ END_ID = 0
 BATCH_CHARS = 1_000_000
 
 
+#: Texts of these characters alone are cut by a faster equivalent of the tokenizer's pattern: among them the letters
+#: are exactly those listed, the digits are 0 to 9 and white space means the same to both regular expression engines.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+_SIMPLE = re.compile("[\\x00-\\x1b\\x20-\\xb1\\xb4-\\xb8\\xba\\xbb\\xbf-\u024f\u2010-\u2027]*+")
+_SIMPLE_SPLIT = re.compile(rf" ?[{_LETTERS}]++|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]++| ?[^\s{_LETTERS}0-9]++|\s+(?!\S)|\s+")
+
+
 def default_path() -> str:
     import public_tokenizers
 
@@ -35,7 +43,7 @@ class PieceEncoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._split = regex.compile(public_tokenizers.PATTERN).findall
+        self._split_any = regex.compile(public_tokenizers.PATTERN).findall
         self._special = sorted((t.content for t in self._tokenizer.get_added_tokens_decoder().values()), key=len)
         vocabulary = self._tokenizer.get_vocab(with_added_tokens=True)
         self._bytes = np.zeros(max(vocabulary.values()) + 1, dtype=np.int64)
@@ -43,6 +51,9 @@ class PieceEncoder:
             self._bytes[i] = len(token)  # byte-level: a character stands for a byte
         self._memory: dict[str, bytes] = {}
 
+    def _split(self, text: str) -> list[str]:
+        return _SIMPLE_SPLIT.findall(text) if _SIMPLE.fullmatch(text) else self._split_any(text)
+
     def _encode(self, pieces: list[str]) -> dict[str, bytes]:
         """Encode pieces. Those of a space and letters are joined: the pattern cuts such a run where it was joined."""
         runs, rest = [], []
