@@ -1,12 +1,13 @@
 """The corpus queries and their SQL."""
 
-from . import exact, packing, pii, sharding, simhash, token_files
+from . import exact, packing, pii, sharding, simhash, token_files, toxicity
 
 QUERIES = {
     "op1_hash_tree_shards": sharding.op1_hash_tree_shards,
     "op2_anchor_expansion_pii": pii.op2_anchor_expansion_pii,
     "op3_token_files": token_files.op3_token_files,
     "op7_exact_dedup": exact.op7_exact_dedup,
+    "op8_compression_toxicity": toxicity.op8_compression_toxicity,
     "op9_pigeonring_simhash": simhash.op9_pigeonring_simhash,
     "op10_power_of_two_packing": packing.op10_power_of_two_packing,
 }
