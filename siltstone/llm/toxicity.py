@@ -6,7 +6,7 @@ are written as 16 bytes drawn from their hash before training and compression, s
 all and a match saves far more than its cost. Each dictionary is trained on the words that its class uses
 significantly more than the other (log-likelihood ratio of document counts), in proportion to the documents that use
 them: shared vocabulary would match in both and only add noise. Greatest distance and number of distant windows go
-through a logistic calibration, fitted on the same labelled rows, with classes weighted equally.
+through a logistic calibration, fitted on the same labelled rows, with each class weighted by its share of all labelled rows.
 
 Labels are learned from a bounded sample, at most SAMPLE rows of each class, chosen by a hash of the id, from rows
 whose crc32 of the id modulo 5 is not 0. Ids, languages and sources are never inputs of a score.
@@ -127,13 +127,15 @@ def score_of(most: float, many: float, weights: tuple[float, float, float]) -> f
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def calibrated(rows: list[tuple[int, int, int, int]]) -> tuple[float, float, float]:
-    """Logistic weights from (greatest distance, distant windows, label, rows), with a small ridge."""
+def calibrated(rows: list[tuple[int, int, int, int]], shares: dict[int, float]) -> tuple[float, float, float]:
+    """Logistic weights from (greatest distance, distant windows, label, rows), with a small ridge.
+
+    shares: of each class among all labelled rows, which the sample may not have kept."""
     x = np.array([[1.0, a / 16, math.log1p(b)] for a, b, _, _ in rows])
     y = np.array([c for _, _, c, _ in rows], dtype=float)
     n = np.array([d for _, _, _, d in rows], dtype=float)
     for label in (0, 1):
-        n[y == label] *= 1000 / max(1.0, n[y == label].sum())
+        n[y == label] *= 2000 * shares[label] / max(1.0, n[y == label].sum())
     w = np.zeros(3)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -153,6 +155,9 @@ def held_out(id_col: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")).dropna().filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").cast("int").alias("label")).withColumn("draw", F.xxhash64("id"))
+    known = staged(known, "toxicity-labels")
+    shares = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    shares = {y: n / sum(shares.values()) for y, n in shares.items()}
     sides = [known.filter(F.col("label") == y).orderBy("draw", "id").limit(sample) for y in (0, 1)]
     chosen = sides[0].unionByName(sides[1]).select("id", "label")
     # at most twice the bound of small rows, whatever the input
@@ -184,29 +189,23 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
         dictionaries.append(_trained([(r["word"], int(r[count])) for r in top]))
     model = Model(*dictionaries)
 
-    packed = pickle.dumps(model)
+    def measured(packed: bytes):
+        @F.pandas_udf(T.StructType([T.StructField("most", T.IntegerType()), T.StructField("many", T.IntegerType())]))
+        def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+            for batch in texts:
+                yield pd.DataFrame([features(t, packed) for t in batch], columns=["most", "many"])
 
-    @F.pandas_udf(T.StructType([T.StructField("most", T.IntegerType()), T.StructField("many", T.IntegerType())]))
-    def measured(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([features(t, packed) for t in batch], columns=["most", "many"])
+        return run("text").alias("f")
 
     # the threshold of a distant window: the greatest distance that best parts the classes
-    seen = learned.select(measured("text").alias("f"), "label").groupBy("f.most", "label").agg(F.count(F.lit(1)).alias("n")).collect()
+    seen = learned.select(measured(pickle.dumps(model)), "label").groupBy("f.most", "label").agg(F.count(F.lit(1)).alias("n")).collect()
     at = sorted({r["most"] for r in seen} - {0})
     rate = lambda y, d: sum(r["n"] for r in seen if r["label"] == y and r["most"] >= d) / totals[y]
     distant = max(at, key=lambda d: (rate(1, d) - rate(0, d), d), default=1)
     model = Model(*dictionaries, distant=distant)
-    packed = pickle.dumps(model)
-
-    @F.pandas_udf(T.StructType([T.StructField("most", T.IntegerType()), T.StructField("many", T.IntegerType())]))
-    def counted(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for batch in texts:
-            yield pd.DataFrame([features(t, packed) for t in batch], columns=["most", "many"])
-
-    table = learned.select(counted("text").alias("f"), "label").groupBy("f.most", "f.many", "label").agg(F.count(F.lit(1)).alias("n"))
+    table = learned.select(measured(pickle.dumps(model)), "label").groupBy("f.most", "f.many", "label").agg(F.count(F.lit(1)).alias("n"))
     rows = [(r["most"], r["many"], r["label"], r["n"]) for r in table.collect()]
-    return Model(*dictionaries, distant=distant, weights=calibrated(rows))
+    return Model(*dictionaries, distant=distant, weights=calibrated(rows, shares))
 
 
 def scored(text: Column, model: Model) -> Column:
