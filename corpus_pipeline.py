@@ -1,8 +1,58 @@
-"""Corpus preparation from documents to packed training sequences."""
+"""Corpus preparation from documents to packed training sequences.
 
-STAGES = []
+Each stage reads what its predecessor kept, written as Parquet in the shared folder, and all but the last return the
+columns of documents. Toxic documents go, then copies, then all but one of each group of near-duplicates, then
+documents that hold a benchmark item; the rest is cut and packed into sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from siltstone.llm import decontaminate, exact, packing, simhash, toxicity
+from siltstone.llm.scratch import staged
+
+
+def drop_toxic(spark, docs, sf_dir):
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return docs.filter(toxicity.scored(docs["text"], model) < 0.5)
+
+
+def drop_copies(spark, docs, sf_dir):
+    return exact.drop_copies(docs)
+
+
+def drop_near_copies(spark, docs, sf_dir):
+    """The document with the smallest id of each group stays."""
+    found = simhash.near_duplicates(docs)
+    lost = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lost")).distinct()
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["__lost"]), "left_anti")
+
+
+def drop_contaminated(spark, docs, sf_dir):
+    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    lost = staged(found.select(F.col("doc_id").alias("__lost")).distinct(), "contaminated")
+    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["__lost"]), "left_anti")
+
+
+def pack(spark, docs, sf_dir):
+    return packing.pack(docs)
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("exact_dedup", drop_copies),
+    ("near_dedup", drop_near_copies),
+    ("decontamination", drop_contaminated),
+    ("packing", pack),
+]
+
+#: SQL cannot express fingerprints of XXH64, trained dictionaries or the tokenizer; tests/llm compares with brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    raise NotImplementedError
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
