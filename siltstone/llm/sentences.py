@@ -19,8 +19,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,22 +33,32 @@ SENTENCE = r"[^.!?\n]*[.!?]+\n*|[^.!?\n]+\n*|\n+"
 _PIECES = re.compile(SENTENCE).findall
 
 
-def _hashes(text: Column, span: int) -> Column:
-    """An array with the two hash halves of each run of `span` sentences."""
-    pieces = F.transform(
-        F.regexp_extract_all(text, F.lit(SENTENCE), F.lit(0)), lambda s: F.trim(F.regexp_replace(s, r"[\x20\x09-\x0D]+", " "))
-    )
-    runs = F.when(F.size(pieces) >= span, F.sequence(F.lit(1), F.size(pieces) - span + 1)).otherwise(F.array().cast("array<int>"))
-    joined = lambda p, i: F.array_join(F.slice(p, i, span), "\n")
-    texts = F.transform(runs, lambda i: joined(pieces, i))
-    return F.transform(texts, lambda s: F.struct(F.xxhash64(s).alias("h"), F.xxhash64(F.lit(1), s).alias("g")))
+def run_hashes(text: str | None, span: int = SPAN) -> np.ndarray:
+    """Two 64-bit halves of the hash of each run of `span` sentences."""
+    import xxhash
+
+    pieces = [b" ".join(p.encode("utf-8", "replace").split()) for p in _PIECES(text or "")]
+    digests = [xxhash.xxh3_128_digest(b"\n".join(pieces[i : i + span])) for i in range(len(pieces) - span + 1)]
+    return np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
     """doc_id, own (tells texts under one id apart), pos, and the hash (h, g) of every run."""
-    base = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("own"), F.coalesce(text_col, F.lit("")).alias("text"))
-    found = base.select("doc_id", "own", F.posexplode(_hashes(F.col("text"), span)).alias("pos", "at"))
-    return found.select("doc_id", "own", "pos", "at.h", "at.g")
+
+    def run(batches):
+        for batch in batches:
+            found = [run_hashes(t.as_py(), span) for t in batch.column(2)]
+            sizes = np.array([len(f) for f in found], dtype=np.int64)
+            hashes = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
+            pos = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())],
+                names=["doc_id", "own", "pos", "h", "g"],
+            )
+
+    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
+    return base.mapInArrow(run, "doc_id long, own long, pos int, h long, g long")
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
