@@ -6,8 +6,8 @@ bits, some block differs in at most RADIUS // 8, so the items in the blocks' sma
 the radius. Candidates within it are verified exactly: the weighted Jaccard similarity of the multisets of five-word
 shingles, each weighted by its count, must reach 0.8.
 
-A window that passes the verification shares at least 8/9 of its shingles with an item. Windows that hold fewer
-shingles of any item are passed over before fingerprinting, which loses nothing and leaves few windows to fingerprint.
+A window that passes the verification shares at least 8/9 of its shingles with an item of its length. Windows that hold
+fewer shingles of every such item are passed over before fingerprinting, which loses nothing and leaves few windows.
 
 The benchmark is read in blocks of bounded size (BLOCK_BYTES of text), one pass over the documents for each, so what is
 sent to the tasks has a fixed bound however large the benchmark.
@@ -83,11 +83,13 @@ class Index:
         self.vocabulary = {w: i + 1 for i, w in enumerate(sorted({w for t in self.tokens for w in t}))}
         self.keys = {}
         for n in sorted({min(SHINGLE, s) for s in self.sizes}):
-            own = [self._keys(np.array([self.vocabulary[w] for w in t], dtype=np.uint64), n)[0] for t in self.tokens if min(SHINGLE, len(t)) == n]
-            keys = np.unique(np.concatenate(own))
+            mine = [i for i, t in enumerate(self.tokens) if min(SHINGLE, len(t)) == n]
+            own = [self._keys(np.array([self.vocabulary[w] for w in self.tokens[i]], dtype=np.uint64), n)[0] for i in mine]
+            pairs = np.unique(np.stack([np.concatenate(own), np.repeat(np.array(mine, np.uint64), [len(o) for o in own])]), axis=1)
+            keys, first = np.unique(pairs[0], return_index=True)
             table = np.zeros(1 << 18, dtype=bool)
             table[(keys >> np.uint64(40)) & np.uint64(0x3FFFF)] = True
-            self.keys[n] = (keys, table)
+            self.keys[n] = (keys, table, np.append(first, pairs.shape[1]), pairs[1].astype(np.int64))
         self.places: list[list[np.ndarray]] = []
         near = [sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r)]
         for block in range(BLOCKS):
@@ -124,29 +126,36 @@ class Index:
         ids = np.fromiter(map(self.vocabulary.get, tokens, [0] * len(tokens)), dtype=np.uint64, count=len(tokens))
         if not ids.any():
             return []
-        starts: dict[int, np.ndarray] = {}
-        for n, (keys, table) in self.keys.items():
+        starts: dict[int, set[int]] = {}
+        for n, (keys, table, first, owners) in self.keys.items():
             if len(ids) < n:
                 continue
             own, known = self._keys(ids, n)
             maybe = np.flatnonzero(known & table[(own >> np.uint64(40)) & np.uint64(0x3FFFF)])
             at = np.searchsorted(keys, own[maybe])
-            hit = maybe[(at < len(keys)) & (keys[np.minimum(at, len(keys) - 1)] == own[maybe])]
-            if not len(hit):
+            hits = keys[np.minimum(at, len(keys) - 1)] == own[maybe]
+            maybe, at = maybe[hits], at[hits]
+            if not len(maybe):
                 continue
-            before = np.zeros(len(own) + 1, dtype=np.int64)
-            before[hit + 1] = 1
-            np.cumsum(before, out=before)
-            for size in self.sizes:
-                if min(SHINGLE, size) == n and size <= len(tokens):
-                    per = size - n + 1
-                    need = math.ceil(2 * SIMILAR * per / (1 + SIMILAR) - 1e-9)
-                    good = np.flatnonzero(before[per:] - before[:-per] >= need)
-                    if len(good):
-                        starts[size] = good
+            # each place of a run once for every item that has the run
+            many = first[at + 1] - first[at]
+            places = np.repeat(maybe, many)
+            items = owners[np.repeat(first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())]
+            order = np.argsort(items, kind="stable")
+            items, places = items[order], places[order]
+            edges = np.concatenate([[0], np.flatnonzero(np.diff(items)) + 1, [len(items)]])
+            for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+                size = int(self.lengths[items[a]])
+                per = size - n + 1
+                need = math.ceil(2 * SIMILAR * per / (1 + SIMILAR) - 1e-9)
+                if b - a < need or size > len(tokens):
+                    continue
+                low, high = places[a : b - need + 1], places[a + need - 1 : b]
+                for p, q in zip(low[high - low < per].tolist(), high[high - low < per].tolist(), strict=True):
+                    starts.setdefault(size, set()).update(range(max(0, q - per + 1), min(p, len(tokens) - size) + 1))
         best: dict[int, tuple[float, int, int]] = {}
         for size, good in starts.items():
-            for s in good.tolist():
+            for s in sorted(good):
                 hashes = shingle_hashes(tokens[s : s + size])
                 fp = int(fingerprint(signs(hashes).sum(axis=0, keepdims=True))[0])
                 own = Counter(hashes)
