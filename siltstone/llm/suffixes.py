@@ -35,7 +35,7 @@ from .scratch import staged
 WIDTH = 100
 GRAM = 32
 #: Different segments under one anchor up to which they are sorted in one shard.
-CROWD = 256
+CROWD = 4096
 #: Bytes of segments in a shard, about.
 SHARD_BYTES = 8_000_000
 #: Bytes of text whose anchors are found at a time.
