@@ -195,37 +195,69 @@ def _induce(text: np.ndarray, seeds: np.ndarray, seed_lcps: np.ndarray, symbols:
             queue.close()
 
 
-def _equal_before(text: np.ndarray, places: np.ndarray, lengths: np.ndarray, horizon: int) -> np.ndarray:
-    """Common prefix, up to the horizon, of each place with the place before it; stops at lengths if given."""
+def _words(text: np.ndarray) -> np.ndarray:
+    """At each place the four symbols from there on, the first in the lowest bits."""
+    padded = np.concatenate([text, np.zeros(3, text.dtype)]).astype(np.uint64)
     n = len(text)
-    common = np.zeros(len(places), dtype=np.int16)
-    active = np.arange(1, len(places))
-    for k in range(horizon):
-        a, b = places[active] + k, places[active - 1] + k
-        inside = (a < n) & (b < n)
-        if lengths is not None:
-            inside &= (k < lengths[active]) & (k < lengths[active - 1])
-        active, a, b = active[inside], a[inside], b[inside]
-        active = active[text[a] == text[b]]
-        if not len(active):
+    return padded[:n] | padded[1 : n + 1] << np.uint64(16) | padded[2 : n + 2] << np.uint64(32) | padded[3 : n + 3] << np.uint64(48)
+
+
+def _equal_before(words: np.ndarray, places: np.ndarray, lengths: np.ndarray | None, horizon: int) -> np.ndarray:
+    """Common prefix, up to the horizon and to lengths if given, of each place with the place before it."""
+    n = len(words)
+    most = np.minimum(horizon, n - np.maximum(places[1:], places[:-1]))
+    if lengths is not None:
+        most = np.minimum(most, np.minimum(lengths[1:], lengths[:-1]))
+    common = most.astype(np.int16)
+    active = np.arange(len(most))
+    a, b = places[1:], places[:-1]
+    for k in range(0, horizon, 4):
+        differ = words[a + k] ^ words[b + k]
+        stop = np.flatnonzero(differ)
+        if len(stop):
+            least = differ[stop]
+            equal = (np.bitwise_count((least & -least) - np.uint64(1)) >> 4) + k
+            common[active[stop]] = np.minimum(common[active[stop]], equal)
+        go = np.flatnonzero((differ == 0) & (most[active] > k + 4))
+        if not len(go):
             break
-        common[active] = k + 1
-    return common
+        active, a, b = active[go], a[go], b[go]
+    return np.concatenate([np.zeros(1, np.int16), common])[: len(places)]
 
 
 def _ranks(names: np.ndarray, horizon: int) -> np.ndarray:
-    """The order of the suffixes of a string of names, as far as the horizon."""
-    rank = np.unique(names, return_inverse=True)[1].astype(np.int64)
-    span, n = 1, len(names)
-    while True:
-        order = np.argsort(rank, kind="stable")
-        if span >= horizon or (n and rank[order[-1]] == n - 1):
-            return order
-        further = np.zeros(n, dtype=np.int64)
-        further[: max(0, n - span)] = rank[span:] + 1
-        joint = rank * (n + 2) + further
-        rank = np.unique(joint, return_inverse=True)[1].astype(np.int64)
+    """The order of the suffixes of a string of names, as far as `horizon` names; only ties are sorted again."""
+    n = len(names)
+    rank = names - names.min()
+    order = np.argsort(rank, kind="stable")
+    span = 1
+    ties = np.arange(n)  # places in the order whose ranks are not settled
+    rank = _settled(rank[order], order, np.zeros(n, np.int64))
+    while span < horizon:
+        own = rank[order[ties]]
+        joined = np.zeros(len(ties), dtype=bool)
+        joined[1:] = own[1:] == own[:-1]
+        joined[:-1] |= joined[1:]
+        ties, own = ties[joined], own[joined]
+        if not len(ties):
+            break
+        places = order[ties]
+        further = np.where(places + span < n, rank[np.minimum(places + span, n - 1)] + 1, 0)
+        joint = own * (n + 2) + further
+        turn = np.argsort(joint, kind="stable")
+        order[ties] = places[turn]
+        joint, own = joint[turn], own[turn]
+        # a rank is the place in the order of the first that has it
+        heads = np.concatenate([[True], joint[1:] != joint[:-1]])
+        rank[places[turn]] = np.repeat(ties[heads], np.diff(np.concatenate([np.flatnonzero(heads), [len(ties)]])))
         span *= 2
+    return order
+
+
+def _settled(values: np.ndarray, order: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    heads = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    rank[order] = np.repeat(heads, np.diff(np.concatenate([heads, [len(values)]])))
+    return rank
 
 
 def sorted_suffixes(text: np.ndarray, horizon: int, folder: str | None = None, memory: int = MEMORY_TUPLES):
@@ -237,7 +269,7 @@ def sorted_suffixes(text: np.ndarray, horizon: int, folder: str | None = None, m
     folder = tempfile.mkdtemp(dir=folder)
     try:
         symbols = int(text.max()) + 1
-        rising = kinds(text)
+        rising, words = kinds(text), _words(text)
         lms = np.flatnonzero(rising[1:] & ~rising[:-1]) + 1
         if len(lms) > 1:
             is_lms = np.zeros(len(text), dtype=bool)
@@ -249,15 +281,15 @@ def sorted_suffixes(text: np.ndarray, horizon: int, folder: str | None = None, m
             size[lms[:-1]] = np.diff(lms) + 1
             size[lms[-1]] = 1
             sizes = size[by_substring]
-            same = _equal_before(text, by_substring, sizes, horizon)
+            same = _equal_before(words, by_substring, sizes, horizon)
             new = np.ones(len(lms), dtype=bool)
             # substrings that agree as far as the horizon need no telling apart
             new[1:] = ~(((sizes[1:] == sizes[:-1]) & (same[1:] == sizes[1:])) | (same[1:] >= horizon))
             names = np.zeros(len(text), dtype=np.int64)
             names[by_substring] = np.cumsum(new)
-            seeds = lms[_ranks(names[lms], horizon)]
+            seeds = lms[_ranks(names[lms], -(-horizon // 2))]  # each name moves on by two symbols at least
         else:
             seeds = lms
-        yield from _induce(text, seeds, _equal_before(text, seeds, None, horizon), symbols, horizon, folder, memory)
+        yield from _induce(text, seeds, _equal_before(words, seeds, None, horizon), symbols, horizon, folder, memory)
     finally:
         shutil.rmtree(folder, ignore_errors=True)
