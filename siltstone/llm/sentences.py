@@ -1,4 +1,4 @@
-"""Substring deduplication with sliding sentence spans.
+"""Substring deduplication with sliding sentence spans, and with word windows where sentences do not line up.
 
 A text is cut into sentences: up to and with its closing marks and line ends, or up to a line end. Every run of SPAN
 consecutive sentences is hashed to 128 bits. The occurrence with the smallest (id, position) of a hash is the first;
@@ -6,17 +6,25 @@ every sentence that any other occurrence covers is removed. The first occurrence
 partial before the exchange, and only hashes that repeat are joined back, so a passage in a third of all documents is
 never gathered.
 
-Sentences are compared with white space trimmed and runs of it as one space. Whole texts are read.
+A passage of over 50 words need not hold SPAN whole sentences. So every word that lies in a window of WINDOW words which
+also starts earlier is removed too, wherever sentences begin or end. Windows are not all exchanged: a window's anchor is
+the least hash among its runs of GRAM words, so equal windows have equal anchors, and only windows whose anchor is in
+several places are hashed and met. Texts that are equal as a whole meet by their hash; only the first goes on.
 
-Defined cases: a null text counts as empty and has no sentences; texts with fewer than SPAN sentences lose nothing;
-a run that repeats within one text loses its later occurrences; rows that repeat both the id and the text are one
-document read twice and keep or lose the same; a null id comes first; other columns are ignored.
+Sentences are compared with white space trimmed and runs of it as one space, windows word by word. Words are cut at
+ASCII white space. Whole texts are read.
+
+Defined cases: a null text counts as empty and has no sentences; texts with fewer than SPAN sentences and fewer than
+WINDOW words lose nothing; a run that repeats within one text loses its later occurrences; rows that repeat both the id
+and the text are one document read twice and keep or lose the same; a null id comes first; different texts under one
+id come in the order of a hash; the white space around a removed window stays; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,10 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import staged
+from .suffixes import _frame, _gram_hashes, _least
 
 SPAN = 3
 SENTENCE = r"[^.!?\n]*[.!?]+\n*|[^.!?\n]+\n*|\n+"
 _PIECES = re.compile(SENTENCE).findall
+#: Words of a window, and of the runs among which its anchor is the least.
+WINDOW = 51
+GRAM = 25
+_WORDS = re.compile(r"[^\x20\x09-\x0D]+").finditer
+_SECOND = np.uint64(0x165667B19E3779F9)
+#: Among the starts of a document, stands for all of its windows; other windows stand as their complement.
+_ALL = -(1 << 31)
 
 
 def run_hashes(text: str | None, span: int = SPAN) -> np.ndarray:
@@ -61,36 +77,142 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span:
     return base.mapInArrow(run, "doc_id long, own long, pos int, h long, g long")
 
 
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """doc_id, own and starts: where non-first occurrences of repeated runs begin, in each document that has any."""
-    found = staged(spans(docs, id_col, text_col, span), "sentence-spans")
+def word_hashes(text: str | None) -> np.ndarray:
+    import xxhash
+
+    words = (text or "").encode("utf-8", "replace").split()
+    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
+
+
+def window_anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The anchor of each window of a text, and the anchors that lie in several places of it."""
+    if len(words) < WINDOW:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams, many = _gram_hashes(words, GRAM), WINDOW - GRAM + 1
+    least = _least(grams, many)
+    # a run is an anchor if it is the least of some window around it, ties included: equal windows have it in two places
+    pad = np.zeros(many - 1, np.uint64)
+    top = ~_least(~np.concatenate([pad, least, pad]), many)
+    own, counts = np.unique(grams[grams == top], return_counts=True)
+    return least.view(np.int64), own[counts > 1].view(np.int64)
+
+
+def _anchor_rows(texts: DataFrame) -> DataFrame:
+    """(a, own): the anchors of each text; one that a text has in several places comes with two marks."""
+
+    def run(batches):
+        for batch in batches:
+            anchors, marks, held = [], [], 0
+            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found, several = window_anchors(word_hashes(text.as_py()))
+                found = np.unique(found)
+                anchors += [found, several]
+                marks += [np.full(len(found), own, np.int64), np.full(len(several), ~own, np.int64)]
+                held += len(found) + len(several)
+                if held > 200_000:
+                    yield _frame(("a", "own"), np.concatenate(anchors), np.concatenate(marks))
+                    anchors, marks, held = [], [], 0
+            if held:
+                yield _frame(("a", "own"), np.concatenate(anchors), np.concatenate(marks))
+
+    return texts.select("own", "text").mapInArrow(run, "a long, own long")
+
+
+def _window_rows(texts: DataFrame) -> DataFrame:
+    """doc_id, own, pos, and the hash (h, g) of every window under the anchors listed for each text."""
+    names = ("doc_id", "own", "pos", "h", "g")
+
+    def run(batches):
+        for batch in batches:
+            rows, held = [], 0
+            for i, text in enumerate(batch.column(2)):
+                words = word_hashes(text.as_py())
+                listed = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
+                pos = np.flatnonzero(np.isin(window_anchors(words)[0], listed))
+                h, g = (_gram_hashes(w, WINDOW)[pos].view(np.int64) for w in (words, (words ^ (words >> np.uint64(31))) * _SECOND))
+                rows.append((np.full(len(pos), i), pos.astype(np.int32), h, g))
+                held += len(pos)
+                if held > 200_000:
+                    yield whole(batch, rows)
+                    rows, held = [], 0
+            if held:
+                yield whole(batch, rows)
+
+    def whole(batch, rows):
+        at, pos, h, g = (np.concatenate(part) for part in zip(*rows, strict=True))
+        return _frame(names, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pos, h, g)
+
+    return texts.select("doc_id", "own", "text", "anchors").mapInArrow(run, "doc_id long, own long, pos int, h long, g long")
+
+
+def _later(found: DataFrame, name: str) -> DataFrame:
+    """doc_id, own and pos of all places of a hash but the first."""
     place = F.struct("doc_id", "own", "pos")
     firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # written, so that both sides of the join are dealt anew and a hot run can be split
-    firsts = staged(firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first"), "sentence-firsts")
-    later = found.join(firsts, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
+    firsts = staged(firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first"), f"{name}-firsts")
+    return found.join(firsts, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "own", "pos")
+
+
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, own and pos: where windows that also start earlier begin, as complements; _ALL for a copied text."""
+    text = F.col(text_col)
+    texts = docs.filter(F.octet_length(text) >= 2 * WINDOW - 1).select(
+        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.sha2(text, 256).alias("sha"), text.alias("text")
+    )
+    anchors = staged(_anchor_rows(texts), "window-anchors")
+    shared = anchors.groupBy("a").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("a")
+    shared = staged(shared, "window-shared")
+    listed = anchors.join(shared, "a").groupBy("own").agg(F.collect_set("a").alias("anchors"))
+    whole = staged(texts.select("doc_id", "own", "sha"), "window-texts")
+    groups = staged(whole.groupBy("own", "sha").agg(F.min(F.struct("doc_id")).alias("least"), F.max(F.struct("doc_id")).alias("most")), "window-groups")
+    groups = groups.select("own", "sha", F.col("least.doc_id").alias("keep"), F.col("most.doc_id").alias("most"))
+    plan = staged(groups.select(F.col("own").alias("of"), "keep").join(listed.withColumnRenamed("own", "of"), "of"), "window-plan")
+    # the id is part of the key, so the copies of one text are spread and meet nothing
+    first = texts.join(plan, (F.col("own") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "own", "text", "anchors")
+    later = _later(staged(_window_rows(first), "window-rows"), "window").withColumn("pos", F.bitwise_not("pos"))
+    many = groups.filter(~F.col("keep").eqNullSafe(F.col("most"))).select(F.col("own").alias("of"), F.col("sha").alias("same"), "keep")
+    copies = whole.join(many, (F.col("own") == F.col("of")) & (F.col("sha") == F.col("same")) & ~F.col("doc_id").eqNullSafe(F.col("keep")))
+    return later.unionByName(copies.select("doc_id", "own", F.lit(_ALL).alias("pos")))
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
+    """doc_id, own and starts: where non-first runs and (complements) windows begin, in each document that has any."""
+    found = staged(spans(docs, id_col, text_col, span), "sentence-spans")
+    later = _later(found, "sentence").unionByName(repeated_windows(docs, id_col, text_col))
     return later.groupBy("doc_id", "own").agg(F.collect_set("pos").alias("starts"))
 
 
-def cut(text: str | None, starts, span: int = SPAN) -> tuple[str | None, list[tuple[int, int]], int]:
-    """The text without the sentences that runs at `starts` cover, the removed spans in code points, and all sentences."""
+def cut(text: str | None, starts, span: int = SPAN) -> tuple[str | None, list[tuple[int, int]], int, int]:
+    """The text without what runs and windows at `starts` cover, the removed spans in code points, the sentences that
+    lose something, and all sentences."""
     pieces = _PIECES(text or "")
-    gone = {p + k for p in starts for k in range(span)} if starts is not None else set()
-    kept, removed, at = [], [], 0
-    for i, piece in enumerate(pieces):
-        if i in gone:
-            if removed and removed[-1][1] == at:
-                removed[-1] = (removed[-1][0], at + len(piece))
-            else:
-                removed.append((at, at + len(piece)))
+    starts = [] if starts is None else [int(p) for p in starts]
+    edges = np.cumsum([0, *map(len, pieces)]).tolist()
+    lost = [(edges[p], edges[p + span]) for p in starts if p >= 0]
+    windows = sorted(~p for p in starts if p < 0)
+    if windows:
+        words = [m.span() for m in _WORDS(text)]
+        if windows[-1] == ~_ALL:
+            windows = range(len(words) - WINDOW + 1)
+        lost += [(words[w][0], words[w + WINDOW - 1][1]) for w in windows]
+    removed: list[tuple[int, int]] = []
+    for a, b in sorted(lost):
+        if removed and a <= removed[-1][1]:
+            removed[-1] = (removed[-1][0], max(removed[-1][1], b))
         else:
-            kept.append(piece)
-        at += len(piece)
-    return (text if text is None else "".join(kept)), removed, len(pieces)
+            removed.append((a, b))
+    kept, at, gone = [], 0, set()
+    for a, b in removed:
+        kept.append(text[at:a])
+        at = b
+        gone.update(range(bisect_right(edges, a) - 1, bisect_left(edges, b)))
+    return (text if text is None else "".join([*kept, text[at:]])), removed, len(gone), len(pieces)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """doc_id, text (what is kept), n_sentences, n_removed and removed (start:end in code points, comma-joined)."""
+    """doc_id, text (what is kept), n_sentences, n_removed (that lose something) and removed (start:end in code points,
+    comma-joined)."""
     found = repeated(docs, id_col, text_col, span).select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), "starts")
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
     joined = texts.join(found, texts.doc_id.eqNullSafe(found["__id"]) & (texts.own == found["__own"]), "left")
@@ -103,8 +225,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         for texts, starts in batches:
             rows = []
             for text, at in zip(texts, starts, strict=True):
-                kept, removed, n = cut(text, at, span)
-                gone = len({p + k for p in at for k in range(span)}) if at is not None else 0
+                kept, removed, gone, n = cut(text, at, span)
                 rows.append((kept, n, gone, ",".join(f"{a}:{b}" for a, b in removed)))
             yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
 
