@@ -3,7 +3,8 @@
 Every byte that lies in a string of WIDTH bytes which also starts earlier goes. Strings are dealt to shards so that
 equal ones meet: a string's anchor is the least hash among its runs of GRAM bytes, so equal strings have equal anchors.
 Consecutive strings of a document with one anchor form a segment of at most 2 * WIDTH - GRAM bytes. Anchors found in a
-single place are dropped before any text is moved. Of equal segments only the earliest goes on, the others are covered
+single place are dropped before any text is moved, unless a string holds its anchor twice, as in a stretch that repeats
+a byte or a short pattern: then equal strings may lie in that one segment. Of equal segments only the earliest goes on, the others are covered
 whole; what then remains under one anchor is sorted, shard by shard, by induced sorting (see induced.py), and strings
 whose neighbours in that order have a common prefix of WIDTH bytes are repeated.
 
@@ -68,17 +69,23 @@ def _least(values: np.ndarray, many: int) -> np.ndarray:
     return values
 
 
-def segments(data: np.ndarray, offset: int = 0, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first string, strings) of each segment of a text, whose first byte lies at `offset` of its document."""
+def segments(data: np.ndarray, offset: int = 0, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(anchor, first string, strings, inner) of each segment of a text, whose first byte lies at `offset` of its document.
+
+    inner: some string of the segment holds its anchor more than once, so equal strings may lie in this one segment.
+    """
     strings = len(data) - width + 1
     if strings < 1:
-        return (np.zeros(0, np.int64),) * 3
+        return *(np.zeros(0, np.int64),) * 3, np.zeros(0, bool)
     hashes = _gram_hashes(data, gram)
     # the position makes segments end where the anchor's place changes; it takes no part in the anchor
     hashes = (hashes & ~_LOW) | ((np.arange(len(hashes), dtype=np.uint64) + np.uint64(offset)) & _LOW)
     least = _least(hashes, width - gram + 1)
     starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
-    return (least[starts] & ~_LOW).view(np.int64), starts + offset, np.diff(np.concatenate([starts, [strings]]))
+    # with the positions in reverse order the least lies elsewhere only where the hash is there again
+    tied = ((least ^ _least(hashes ^ _LOW, width - gram + 1)) & _LOW) != _LOW
+    many = np.diff(np.concatenate([starts, [strings]]))
+    return (least[starts] & ~_LOW).view(np.int64), starts + offset, many, np.logical_or.reduceat(tied, starts)
 
 
 def document_segments(data: np.ndarray, width: int = WIDTH, gram: int = GRAM):
@@ -97,13 +104,14 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _anchor_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """(a, th): the anchors of each text; one that a text has in several places comes with two marks."""
+    """(a, th): the anchors of each text; one that a text or a string has in several places comes with two marks."""
 
     def run(batches):
         for batch in batches:
             anchors, marks, held = [], [], 0
             for th, data in zip(batch.column(0).to_pylist(), _views(batch.column(1)), strict=True):
-                own, counts = np.unique(document_segments(data, width, gram)[0], return_counts=True)
+                found, _, _, inner = document_segments(data, width, gram)
+                own, counts = np.unique(np.concatenate([found, found[inner]]), return_counts=True)
                 own = np.concatenate([own, own[counts > 1]])
                 anchors.append(own)
                 mark = np.full(len(own), th, dtype=np.int64)
@@ -123,19 +131,19 @@ def _frame(names, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=list(names))
 
 
-SEGMENT = "doc_id long, th long, start long, strings int, a long, h long, g long, bytes binary"
+SEGMENT = "doc_id long, th long, start long, strings int, a long, h long, g long, inner boolean, bytes binary"
 
 
 def _segment_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
     """The segments under the anchors listed for each text."""
-    names = ("doc_id", "th", "start", "strings", "a", "h", "g", "bytes")
+    names = ("doc_id", "th", "start", "strings", "a", "h", "g", "inner", "bytes")
 
     def run(batches):
         import xxhash
 
         for batch in batches:
             for doc_id, th, data, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _views(batch.column(2)), batch.column(3), strict=True):
-                anchors, starts, many = document_segments(data, width, gram)
+                anchors, starts, many, inner = document_segments(data, width, gram)
                 chosen = np.flatnonzero(np.isin(anchors, listed.values.to_numpy(zero_copy_only=False)))
                 for at in range(0, len(chosen), 50_000):
                     part = chosen[at : at + 50_000]
@@ -150,6 +158,7 @@ def _segment_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
                         anchors[part],
                         keys[:, 0].copy(),
                         keys[:, 1].copy(),
+                        inner[part],
                         pa.array(own, pa.binary()),
                     )
 
@@ -299,12 +308,12 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     own = keyed.join(plan, (F.col("own") == F.col("th")) & F.col("id").eqNullSafe(F.col("keep"))).select(F.col("id").alias("doc_id"), "th", "text", "anchors")
     found = staged(_segment_rows(own, width, gram), "suffix-segments")
     place = F.struct("doc_id", "th", "start")
-    firsts = found.groupBy("h", "g").agg(F.min("a").alias("a"), F.min(place).alias("first"), F.max(place).alias("last"))
+    firsts = found.groupBy("h", "g").agg(F.min("a").alias("a"), F.min(place).alias("first"), F.max(place).alias("last"), F.max("inner").alias("inner"))
     firsts = staged(firsts, "suffix-firsts")
     several = firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first")
     covered = found.join(several, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
     covered = covered.select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("strings")).alias("e"))
-    crowds = staged(firsts.groupBy("a").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "suffix-crowds")
+    crowds = staged(firsts.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).filter("n > 1 or inner").select("a", "n"), "suffix-crowds")
     wanted = firsts.join(crowds, "a").select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("own"), F.col("first.start").alias("at"), "n")
     met = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own")) & (F.col("start") == F.col("at")))
     met = staged(met.select("doc_id", "th", "start", "bytes", "a", "n"), "suffix-met")

@@ -1,5 +1,6 @@
 import hashlib
 import random
+from itertools import combinations
 
 import numpy as np
 import pytest
@@ -66,6 +67,33 @@ def test_equals_brute_force(spark, crowd):
     assert got == brute(rows, 100)
 
 
+def test_equal_strings_in_one_segment_are_marked():
+    r = random.Random(4)
+    for n in range(101, 169):
+        for offset in range(128):
+            data = np.frombuffer(r.randbytes(128 + offset) + b"=" * n + r.randbytes(150), np.uint8)
+            _, starts, many, inner = suffixes.segments(data)
+            at = np.repeat(np.arange(len(starts)), many)[128 + offset : 128 + offset + n - 99]
+            assert inner[at[:-1][at[:-1] == at[1:]]].all() and (at[0] != at[-1] or inner[at[0]])
+
+
+def test_repeated_patterns_equal_brute_force(spark):
+    """Each text repeats a pattern of its own, at every offset mod 128, and some texts have the stretch of another."""
+    r = random.Random(6)
+
+    def noise(n):
+        return "".join(chr(r.randrange(48, 123)) for _ in range(n))
+
+    patterns = ["".join(p) for p in combinations("abcdefghijklmnop", 3)]
+    r.shuffle(patterns)
+    rows = [(i, noise(128 + i % 128) + patterns[i] * (34 + i // 128 * 5) + noise(120)) for i in range(500)]
+    rows += [(1000 + i, noise(120) + rows[i][1][60:-60] + noise(9)) for i in range(0, 500, 7)]
+    rows += [(2000, noise(128) + "=" * 130 + noise(120))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = {x.doc_id: (x.n_bytes, x.n_removed, x.n_spans, x.kept_sha256) for x in suffixes.remove_repeats(frame).collect()}
+    assert got == brute(rows, 100)
+
+
 def test_edge_rows(spark):
     long = " ".join(str(i) for i in range(400))
     rows = [(1, long, "z"), (1, long, "z"), (None, "q" + long[500:900], "z"), (2, None, "z"), (3, "", "z")]
