@@ -7,7 +7,8 @@ deserve a full hash. A false hit of the bitmap costs one needless hash and chang
 exchange.
 
 Defined cases: null and empty texts are equal to each other; an empty table gives no rows; rows that repeat both the
-id and the text count as one document read twice and share one decision; a null id is smaller than any other; other
+id and the text count as one document read twice and share one decision; a null id is smaller than any other; of equal
+texts with one id and as many code points that differ in white space, the one with the smallest hash stays; other
 columns of the input are ignored.
 """
 
@@ -39,11 +40,21 @@ def equal_text_groups(
     Of equal texts the one with the most code points stays, then the smallest id. hash_all asks for the full hash of
     every row, for callers that report it.
     """
+    return _decided(docs, id_col, text_col, hash_all, bits).drop("own")
+
+
+def _own(text: Column) -> Column:
+    """Tells texts under one id apart, white space included."""
+    return F.xxhash64(F.coalesce(text, F.lit("")))
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str, hash_all: bool = False, bits: int = BITMAP_BITS) -> DataFrame:
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("__text")).withColumn(
         "__norm", without_space(F.col("__text"))
     )
     base = base.select(
         "doc_id",
+        _own(F.col("__text")).alias("own"),
         F.length(F.coalesce("__text", F.lit(""))).alias("n_chars"),
         F.octet_length("__norm").alias("length"),
         F.xxhash64(F.substring("__norm", 1, PREFIX_CHARS)).alias("prefix"),
@@ -61,6 +72,7 @@ def equal_text_groups(
     hashed = staged(
         marked.select(
             "doc_id",
+            "own",
             "n_chars",
             survives.alias("survives"),
             (full if hash_all else F.when(survives, full)).alias("text_sha256"),
@@ -71,36 +83,39 @@ def equal_text_groups(
     groups = staged(
         hashed.filter("survives")
         .groupBy("text_sha256")
-        .agg(F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id")).alias("best"), F.count(F.lit(1)).alias("n"))
+        .agg(F.min(F.struct((-F.col("n_chars")).alias("less"), "doc_id", "own")).alias("best"), F.count(F.lit(1)).alias("n"))
         .filter("n > 1")
-        .select(F.col("text_sha256").alias("key"), F.col("best.doc_id").alias("keep_id"), "n", F.col("best.less").alias("less")),
+        .select(F.col("text_sha256").alias("key"), F.col("best.doc_id").alias("keep_id"), "n", F.col("best.less").alias("less"), F.col("best.own").alias("keep_own")),
         "exact-groups",
     )
     copies = hashed.filter("survives").join(groups, F.col("text_sha256") == F.col("key"), "left")
-    stays = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_chars") == -F.col("less")))
+    best = (F.col("n_chars") == -F.col("less")) & (F.col("own") == F.col("keep_own"))
+    stays = F.col("key").isNull() | (F.col("doc_id").eqNullSafe(F.col("keep_id")) & best)
     copies = copies.select(
         "doc_id",
         F.when(F.col("key").isNull(), F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"),
         F.coalesce("n", F.lit(1).cast("long")).alias("group_size"),
         stays.alias("kept"),
         "text_sha256",
+        "own",
     )
     alone = hashed.filter("not survives").select(
-        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256"
+        "doc_id", F.col("doc_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256", "own"
     )
     return copies.unionByName(alone)
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The input without the copies, columns unchanged. Only ids of the losers are joined back."""
+    """The input without the copies, columns unchanged. Only ids and hashes of the losers are joined back."""
     losers = (
-        equal_text_groups(docs, id_col, text_col)
+        _decided(docs, id_col, text_col)
         .filter(~F.col("kept"))
-        .select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__lost_sha"))
+        .select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__lost_sha"), F.col("own").alias("__lost_own"))
         .distinct()
     )
-    same = docs[id_col].eqNullSafe(F.col("__lost")) & (F.sha2(without_space(docs[text_col]), 256) == F.col("__lost_sha"))
-    return docs.join(losers, same, "left_anti")
+    # the hash of the text as it is keeps the row that stays from losers with its id
+    same = docs[id_col].eqNullSafe(F.col("__lost")) & (_own(docs[text_col]) == F.col("__lost_own"))
+    return docs.join(losers, same & (F.sha2(without_space(docs[text_col]), 256) == F.col("__lost_sha")), "left_anti")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

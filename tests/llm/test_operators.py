@@ -75,6 +75,14 @@ def test_exact(spark):
     assert exact.equal_text_groups(frame.filter("false")).count() == 0
 
 
+def test_exact_white_space_variants_under_one_id(spark):
+    rows = [(None, "a b"), (None, "ab"), (None, "c"), (5, "d  e"), (5, "de"), (5, "de"), (6, "f g"), (6, "f\tg"), (7, "h i"), (7, "h i"), (8, ""), (8, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = Counter((r.doc_id, r.text) for r in exact.drop_copies(frame).collect())
+    tabs = [kept.pop((6, t), 0) for t in ("f g", "f\tg")]
+    assert kept == Counter({(None, "a b"): 1, (None, "c"): 1, (5, "d  e"): 1, (7, "h i"): 2, (8, ""): 1, (8, None): 1}) and sorted(tabs) == [0, 1]
+
+
 def test_sentences(spark):
     shared = "One is here. Two is there. Three is gone. "
     rows = [(1, shared + "Own end."), (2, "Begin. " + shared + "More."), (3, None), (4, "Short."), (5, "A. B. C. A. B. C. ")]
