@@ -3,6 +3,9 @@
 Each stage reads what its predecessor kept, written as Parquet in the shared folder, and all but the last return the
 columns of documents. Toxic documents go, then copies, then all but one of each group of near-duplicates, then
 documents that hold a benchmark item; the rest is cut and packed into sequences.
+
+What is lost is named by id and a hash of the text, so null and repeated ids take no other document along. Of a group of
+near-duplicates the smallest id stays, a null id only where no document has one, and then the smallest hash of the text.
 """
 
 from __future__ import annotations
@@ -22,17 +25,21 @@ def drop_copies(spark, docs, sf_dir):
     return exact.drop_copies(docs)
 
 
+def without(docs, lost):
+    """The documents whose id and text are not among the lost (doc_id, own)."""
+    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("own").alias("__own"))
+    same = docs["doc_id"].eqNullSafe(lost["__lost"]) & (simhash.text_mark(docs["text"]) == lost["__own"])
+    return docs.join(lost, same, "left_anti")
+
+
 def drop_near_copies(spark, docs, sf_dir):
     """The document with the smallest id of each group stays."""
-    found = simhash.near_duplicates(docs)
-    lost = found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__lost")).distinct()
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["__lost"]), "left_anti")
+    return without(docs, simhash.near_copies(docs))
 
 
 def drop_contaminated(spark, docs, sf_dir):
-    found = decontaminate.contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    lost = staged(found.select(F.col("doc_id").alias("__lost")).distinct(), "contaminated")
-    return docs.join(lost, docs["doc_id"].eqNullSafe(lost["__lost"]), "left_anti")
+    found = decontaminate.marked_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return without(docs, staged(found.select("doc_id", "own").distinct(), "contaminated"))
 
 
 def pack(spark, docs, sf_dir):

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .simhash import text_mark
+
 SHINGLE = 5
 SIMILAR = 0.8
 RADIUS = 20
@@ -170,13 +172,20 @@ def contaminated(
     docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     """doc_id, item_id, start, n_words and similarity for every document and item that match."""
+    return marked_matches(docs, benchmark, id_col, text_col, item_col, block_bytes).drop("own")
+
+
+def marked_matches(
+    docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES
+) -> DataFrame:
+    """contaminated() with own, which tells texts under one id apart."""
     spark = docs.sparkSession
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.coalesce(text_col, F.lit("")).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 8)).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    names = ("doc_id", "item_id", "start", "n_words", "similarity")
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64())
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("own"), F.col(text_col).alias("text"))
+    names = ("doc_id", "own", "item_id", "start", "n_words", "similarity")
+    kinds = (*[pa.int64()] * 5, pa.float64())
     found = None
     for block in range(blocks):
         part = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block).collect()
@@ -186,11 +195,11 @@ def contaminated(
             index = Index(held.value)
             for batch in batches:
                 rows = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                    rows += [(doc_id, *m) for m in index.matches(text.as_py())]
+                for doc_id, own, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                    rows += [(doc_id, own, *m) for m in index.matches(text.as_py())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=list(names))
 
-        out = chosen.mapInArrow(run, "doc_id long, item_id long, start long, n_words long, similarity double")
+        out = chosen.mapInArrow(run, "doc_id long, own long, item_id long, start long, n_words long, similarity double")
         found = out if found is None else found.unionByName(out)
     return found
 

@@ -12,7 +12,8 @@ cut into blocks and each pair of blocks is a task of its own. Components are fou
 
 Defined cases: a null, empty or blank text has fingerprint zero and is linked like any other; with fewer words than a
 shingle the whole sequence is the shingle; repeated rows get equal results; a null id counts only where no document of
-a component has an id; an empty table gives no rows; other columns are ignored.
+a component has an id; the document that stands for a component is the one with the smallest id and then the smallest
+hash of its text; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
@@ -59,16 +60,20 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """doc_id and fp, the fingerprint as a signed long."""
+    """doc_id, own (tells texts under one id apart) and fp, the fingerprint as a signed long."""
 
     def run(batches):
         for batch in batches:
-            found = [fingerprint(t.as_py(), shingle) for t in batch.column(1)]
+            found = [fingerprint(t.as_py(), shingle) for t in batch.column(2)]
             fps = pa.array(np.array(found, dtype=np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column(0), fps], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), fps], names=["doc_id", "own", "fp"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return chosen.mapInArrow(run, "doc_id long, fp long")
+    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_mark(F.col(text_col)).alias("own"), F.col(text_col).alias("text"))
+    return chosen.mapInArrow(run, "doc_id long, own long, fp long")
+
+
+def text_mark(text: Column) -> Column:
+    return F.xxhash64(F.coalesce(text, F.lit("")))
 
 
 def chain_sets(chain: int = CHAIN) -> list[int]:
@@ -201,18 +206,28 @@ def links(distinct: DataFrame, chain: int = CHAIN, run: int = RUN) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, chain: int = CHAIN) -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest id that links reach."""
+    found = _grouped(docs, id_col, text_col, shingle, chain)
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id and own (text_mark) of all documents but the one that stands for their component."""
+    found = _grouped(docs, id_col, text_col, SHINGLE, CHAIN)
+    stays = F.col("doc_id").eqNullSafe(F.col("component_id")) & (F.col("own") == F.col("component_own"))
+    return found.filter(~stays).select("doc_id", "own").distinct()
+
+
+def _grouped(docs: DataFrame, id_col: str, text_col: str, shingle: int, chain: int) -> DataFrame:
     marked = staged(fingerprints(docs, id_col, text_col, shingle), "fingerprints")
-    distinct = staged(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct")
+    distinct = staged(marked.groupBy("fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "own")).alias("first")), "distinct")
     roots = staged(components(links(distinct.select("fp"), chain)), "roots")
     joined = distinct.join(roots, distinct.fp == roots.node, "left").select(
         "fp", "first", F.coalesce("root", "fp").alias("root")
     )
-    least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
+    least = joined.groupBy("root").agg(F.min("first").alias("least")).select("root", F.col("least.doc_id").alias("component_id"), F.col("least.own").alias("component_own"))
     # written, so that both sides of the join with the documents are dealt anew and a hot fingerprint can be split
-    named = staged(joined.join(least, "root").select(F.col("fp").alias("own"), "component_id"), "components")
-    return marked.join(named, F.col("fp") == F.col("own")).select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = staged(joined.join(least, "root").select(F.col("fp").alias("__fp"), "component_id", "component_own"), "components")
+    return marked.join(named, F.col("fp") == F.col("__fp")).drop("__fp")
 
 
 def op9_pigeonring_simhash(spark, sf_dir: str) -> DataFrame:
