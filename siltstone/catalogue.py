@@ -344,6 +344,19 @@ def r_recall(spark, sf_dir):
     return ranking.recall(ranking.knn(vectors(spark, sf_dir), q, 20), index.search(spark, q, 20, nprobe=len(index.centroids)))
 
 
+@register("r_recall_default")
+def r_recall_default(spark, sf_dir):
+    """Of searches that leave the number of clusters to the index: mean recall of 20 for all ids divisible by 100."""
+    index = _index(spark, sf_dir)
+    vector_of = {r["id"]: [float(x) for x in r["vector"]] for r in vectors(spark, sf_dir).filter("vector is not null and id % 100 = 0").collect()}
+    shares = []
+    for _, query in sorted(vector_of.items()):
+        exact = ranking.knn(vectors(spark, sf_dir), query, 20)
+        shares.append(ranking.recall(exact, index.search(spark, query, 20)).first()["recall"])
+    mean = sum(shares) / len(shares) if shares else 1.0
+    return spark.createDataFrame([(len(shares), index.nprobe, len(index.centroids), mean)], "queries int, nprobe int, clusters int, recall double")
+
+
 # ---------------------------------------------------------------- aggregation
 
 LINES_SQL = """(SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS flag, l_linestatus AS status, l_quantity::BIGINT AS quantity,

@@ -2,7 +2,8 @@
 
 Centroids are fitted on at most SAMPLE vectors, evenly strided in id order by a hash bound, so what reaches the driver
 has a fixed bound; every vector is then assigned in Arrow batches and the table is written partitioned by cluster. A
-query ranks the centroids on the driver and reads only the partitions of the nearest.
+query ranks the centroids on the driver and reads only the partitions of the nearest: as many as, when the index was
+built, gave vectors of the sample CALIBRATED of their exact neighbours in the sample.
 """
 
 from __future__ import annotations
@@ -28,7 +29,11 @@ from . import filters, ranking
 SAMPLE = 100_000
 MOST_CLUSTERS = 16_384
 ITERATIONS = 10
+#: Clusters that a query reads at least, if it names no number.
 DEFAULT_NPROBE = 8
+#: Recall wanted of CALIBRATION_K neighbours, on average over at most CALIBRATION_QUERIES vectors of the sample; 0.9 is
+#: asked of any queries, so a few hundredths more are wanted of these.
+CALIBRATED, CALIBRATION_K, CALIBRATION_QUERIES = 0.95, 20, 200
 
 
 def distances(rows: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
@@ -61,12 +66,28 @@ def nearest(rows: np.ndarray, centroids: np.ndarray, metric: str) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0, np.int64)
 
 
+def probes_needed(rows: np.ndarray, centroids: np.ndarray, metric: str) -> int:
+    """The least number of clusters, DEFAULT_NPROBE or more, that holds CALIBRATED of the nearest rows of rows."""
+    if not len(rows):
+        return DEFAULT_NPROBE
+    many = min(CALIBRATION_QUERIES, len(rows))
+    own, held = nearest(rows, centroids, metric), np.zeros(len(centroids))
+    for q in rows[np.arange(many) * len(rows) // many]:
+        found = np.argsort(distances(q[None], rows, metric)[0], kind="stable")[:CALIBRATION_K]
+        rank = np.empty(len(centroids), dtype=np.int64)
+        rank[np.argsort(distances(q[None], centroids, metric)[0], kind="stable")] = np.arange(len(centroids))
+        np.add.at(held, rank[own[found]], 1 / len(found) / many)
+    enough = int(np.searchsorted(np.cumsum(held), CALIBRATED - 1e-9)) + 1
+    return max(DEFAULT_NPROBE, min(enough, len(centroids)))
+
+
 @dataclass
 class IvfIndex:
     path: str
     centroids: np.ndarray
     metric: str
     documents: int
+    nprobe: int = DEFAULT_NPROBE
 
     @classmethod
     def build(cls, frame: DataFrame, path: str, metric: str = "cosine", sample: int = SAMPLE, clusters: int | None = None) -> IvfIndex:
@@ -81,9 +102,10 @@ class IvfIndex:
         k = clusters or min(MOST_CLUSTERS, math.isqrt(max(0, n - 1)) + 1)
         centroids = kmeans(rows, k, metric) if len(rows) else np.zeros((0, 1))
         cls._assigned(held, centroids, metric).write.partitionBy("cluster").parquet(f"{path}/rows")
-        meta = json.dumps({"metric": metric, "documents": n, "centroids": centroids.tolist()})
+        nprobe = probes_needed(rows, centroids, metric)
+        meta = json.dumps({"metric": metric, "documents": n, "nprobe": nprobe, "centroids": centroids.tolist()})
         spark.createDataFrame([(meta,)], "meta string").coalesce(1).write.text(f"{path}/centroids")
-        return cls(path, centroids, metric, n)
+        return cls(path, centroids, metric, n, nprobe)
 
     @staticmethod
     def _assigned(held: DataFrame, centroids: np.ndarray, metric: str) -> DataFrame:
@@ -103,19 +125,21 @@ class IvfIndex:
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> IvfIndex:
         meta = json.loads(spark.read.text(f"{path}/centroids").first()[0])
-        return cls(path, np.array(meta["centroids"]), meta["metric"], meta["documents"])
+        return cls(path, np.array(meta["centroids"]), meta["metric"], meta["documents"], meta.get("nprobe", DEFAULT_NPROBE))
 
     def rows(self, spark: SparkSession) -> DataFrame:
         return spark.read.parquet(f"{self.path}/rows")
 
-    def probe(self, query: Sequence[float], nprobe: int = DEFAULT_NPROBE) -> list[int]:
+    def probe(self, query: Sequence[float], nprobe: int | None = None) -> list[int]:
         if not len(self.centroids):
             return []
+        nprobe = self.nprobe if nprobe is None else nprobe
         d = distances(np.array([query], dtype=np.float64), self.centroids, self.metric)[0]
         return np.argsort(d, kind="stable")[: max(1, nprobe)].tolist()
 
-    def search(self, spark: SparkSession, query: Sequence[float], k: int = 10, nprobe: int = DEFAULT_NPROBE, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
+    def search(self, spark: SparkSession, query: Sequence[float], k: int = 10, nprobe: int | None = None, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
         """The k nearest among the rows of the nprobe nearest clusters; selective filters are scored in full."""
+        nprobe = self.nprobe if nprobe is None else nprobe
         query = vector.checked(query, self.centroids.shape[1] if len(self.centroids) else None)
         rows = self.rows(spark)
         schema = schema or Schema.of(rows.drop("cluster"))

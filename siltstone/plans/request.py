@@ -43,7 +43,7 @@ class Query:
     top_k: int = ranking.DEFAULT_TOP_K
     filter: Any = None
     include: Any = None
-    nprobe: int = ivf.DEFAULT_NPROBE
+    nprobe: int | None = None
     eventual_seconds: float = 0.0
     aggregate_by: dict[str, Any] | None = None
     group_by: list[Any] = field(default_factory=list)
@@ -82,7 +82,7 @@ def parse(raw: dict[str, Any], nested: bool = False) -> Query:
         ranking.check_top_k(top_k),
         raw.get("filters"),
         include,
-        ivf.check_nprobe(raw.get("nprobe", ivf.DEFAULT_NPROBE)),
+        ivf.check_nprobe(raw["nprobe"]) if "nprobe" in raw else None,
         _consistency(raw.get("consistency")),
         raw.get("aggregate_by"),
         raw.get("group_by") or [],

@@ -84,6 +84,19 @@ def test_index_against_exact(spark, tmp_path, metric):
     assert ids(index.search(spark, data[3][1], 10, 1, rare)) == ids(ranking.knn(frame, data[3][1], 10, metric, rare))
 
 
+def test_default_probes_reach_recall_without_clusters(spark, tmp_path):
+    """Vectors of pure noise, for which eight clusters of 32 hold too few of the neighbours."""
+    r = np.random.default_rng(5)
+    data = [(i, v.tolist()) for i, v in enumerate(r.normal(size=(1000, 32)))]
+    frame = spark.createDataFrame(data, "id long, vector array<float>")
+    index = ivf.IvfIndex.load(spark, ivf.IvfIndex.build(frame, str(tmp_path / "noise")).path)
+    shares = []
+    for q in range(0, 1000, 100):
+        exact = set(ids(ranking.knn(frame, data[q][1], 20)))
+        shares.append(len(exact & set(ids(index.search(spark, data[q][1], 20)))) / 20)
+    assert sum(shares) / len(shares) >= 0.9 and index.nprobe < len(index.centroids)
+
+
 def test_recall(spark):
     a, b = (spark.createDataFrame([(i,) for i in x], "id long") for x in ([1, 2, 3, 4], [2, 3, 9]))
     assert ranking.recall(a, b).first()[0] == 0.5 and ranking.recall(a.filter("false"), b).first()[0] == 1.0
