@@ -12,6 +12,8 @@ fewer shingles of every such item are passed over before fingerprinting, which l
 The benchmark is read in blocks of bounded size (BLOCK_BYTES of text), one pass over the documents for each, so what is
 sent to the tasks has a fixed bound however large the benchmark.
 
+An item that is longer than a document is compared with the whole document, which can reach 0.8 if little is missing.
+
 Defined cases: words are runs of letters, digits and underscores in lower case; an item of fewer than five words has
 one shingle, the whole item; items without words match nothing; null and empty texts have no matches; of several
 windows of a document that match an item the most similar, then the first is reported; repeated rows give repeated
@@ -129,6 +131,7 @@ class Index:
         if not ids.any():
             return []
         starts: dict[int, set[int]] = {}
+        longer: list[int] = []
         for n, (keys, table, first, owners) in self.keys.items():
             if len(ids) < n:
                 continue
@@ -149,8 +152,12 @@ class Index:
             for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
                 size = int(self.lengths[items[a]])
                 per = size - n + 1
+                if size > len(tokens):
+                    if b - a >= math.ceil(SIMILAR * (per + len(tokens) - n + 1) / (1 + SIMILAR) - 1e-9):
+                        longer.append(int(items[a]))
+                    continue
                 need = math.ceil(2 * SIMILAR * per / (1 + SIMILAR) - 1e-9)
-                if b - a < need or size > len(tokens):
+                if b - a < need:
                     continue
                 low, high = places[a : b - need + 1], places[a + need - 1 : b]
                 for p, q in zip(low[high - low < per].tolist(), high[high - low < per].tolist(), strict=True):
@@ -165,6 +172,11 @@ class Index:
                     sim = similarity(own, self.counts[i])
                     if sim >= SIMILAR and (i not in best or (-sim, s) < (-best[i][0], best[i][1])):
                         best[i] = (sim, s, size)
+        whole = Counter(shingle_hashes(tokens)) if longer else None
+        for i in longer:
+            sim = similarity(whole, self.counts[i])
+            if sim >= SIMILAR:
+                best[i] = (sim, 0, len(tokens))
         return [(self.ids[i], s, size, sim) for i, (sim, s, size) in sorted(best.items())]
 
 

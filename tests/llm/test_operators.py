@@ -154,6 +154,21 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(frame, bench.filter("false")).count() == 0
 
 
+def test_decontamination_of_documents_shorter_than_the_item(spark):
+    words = [f"w{i}" for i in range(50)]
+    docs = [(i, " ".join(words[:i])) for i in range(51)] + [(100, " ".join(words[3:48])), (101, " ".join(words[:30] + ["x"] + words[31:45])), (102, None)]
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    bench = spark.createDataFrame([(1, " ".join(words)), (2, "w1 w2 w3")], "item_id long, text string")
+
+    def shingles(t):
+        return Counter(" ".join(t[k : k + 5]) for k in range(max(1, len(t) - 4)))
+
+    want = {d for d, t in docs if decontaminate.similarity(shingles((t or "").split()), shingles(words)) >= 0.8}
+    got = [x for x in decontaminate.contaminated(frame, bench).collect() if x.item_id == 1]
+    assert {x.doc_id for x in got} == want >= {45, 50, 100} and 20 not in want
+    assert {(x.start, x.n_words) for x in got if x.doc_id == 45} == {(0, 45)}
+
+
 def test_sharding(spark, tmp_path):
     rows = [(i, f"t{i}" if i % 7 else None) for i in range(3000)] + [(5, "again"), (None, "q")]
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
