@@ -1,15 +1,23 @@
-"""Toxicity by compression distance: two zstandard dictionaries and calibrated window lengths.
+"""Toxicity by compression distance: zstandard dictionaries of toxic and of ordinary text, and calibrated thresholds.
 
-One dictionary is trained on toxic and one on ordinary labelled text. A text is cut into windows of a few words; each
-window is compressed with either dictionary, and the bytes that the toxic one saves are the window's distance. Words
-are written as 16 bytes drawn from their hash before training and compression, so a word is matched whole or not at
-all and a match saves far more than its cost. Each dictionary is trained on the words that its class uses
-significantly more than the other (log-likelihood ratio of document counts), in proportion to the documents that use
-them: shared vocabulary would match in both and only add noise. Greatest distance and number of distant windows go
-through a logistic calibration, fitted on the same labelled rows, with each class weighted by its share of all labelled rows.
+Two dictionaries are trained by zstandard's own trainer, one on windows of toxic and one on windows of ordinary labelled
+text. Every window of a text is compressed with either; the bytes that the toxic dictionary saves over the ordinary one
+are the window's distance. A window is one word: wider ones add the noise of their ordinary words to the distance.
+
+Text is written for compression so that each letter takes LETTER_BYTES bytes, drawn from a hash of the word up to and
+with that letter. A match then saves far more than its cost, and words match from their beginning, inflected forms
+included.
+
+Toxic documents are mostly ordinary text, so the first dictionaries share much. Each further round trains the toxic one
+on the windows of toxic documents that it compresses better than the ordinary one does, and gives the ordinary one the
+windows of ordinary documents where it lost, several times. How large the dictionaries are and how many rounds follow is
+chosen from CANDIDATES by the log-loss on labelled documents whose windows trained no dictionary; there also the
+threshold of a distant window is chosen and the logistic calibration fitted, over the greatest distance, the number and
+the rate of distant windows, and the sum of the three greatest. Each class is weighted by its share of all labelled rows.
 
 Labels are learned from a bounded sample, at most SAMPLE rows of each class, chosen by a hash of the id, from rows
-whose crc32 of the id modulo 5 is not 0. Ids, languages and sources are never inputs of a score.
+whose crc32 of the id modulo 5 is not 0, and about WINDOWS windows of each class, chosen by a hash of id and place. Ids,
+languages and sources are never inputs of a score.
 
 Defined cases: a null, empty or wordless text gets the score of a text without distant windows; without labelled rows of both
 classes every score is 0; several labels of one id count as toxic if one does; repeated rows score alike; other
@@ -20,29 +28,35 @@ from __future__ import annotations
 
 import functools
 import hashlib
+import heapq
 import math
 import pickle
-import random
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .scratch import staged
 
-#: Labelled rows of each class that are learned from, at most.
+#: Labelled rows, and windows of text, of each class that are learned from, at most (windows: about).
 SAMPLE = 10_000
+WINDOWS = 200_000
 FOLDS = 5
-WINDOW_WORDS = 8
-#: Words behind each dictionary, the least number of documents that use them, and the least share of their class.
-DICTIONARY_WORDS, LEAST_DOCS, LEAST_SHARE = 256, 3, 0.01
-DICTIONARY_BYTES = 4096
+#: Of the learned documents one in so many calibrates; its windows train no dictionary.
+CALIBRATES = 4
+LETTER_BYTES, LETTERS = 8, 12
 LEVEL = 3
+#: Trainer's segment and d-mer sizes in bytes.
+SEGMENT, DMER = 64, 8
+#: (bytes of the ordinary dictionary, of the toxic one, further rounds, times that a lost ordinary window counts).
+CANDIDATES = ((16384, 4096, 0, 0), (49152, 8192, 0, 0), (49152, 8192, 2, 2), (16384, 4096, 2, 8), (49152, 8192, 2, 8))
+THRESHOLDS = (10, 14, 18, 22, 28)
 MEMORY_WORDS = 500_000
 _WORD = re.compile(r"[^\W\d_]+")
 
@@ -51,108 +65,144 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Model:
     toxic: bytes
     ordinary: bytes
-    distant: int = 1
-    weights: tuple[float, float, float] = (0.0, 0.0, 0.0)
+    distant: int = THRESHOLDS[0]
+    weights: tuple[float, ...] = (0.0,) * 5
 
 
 def words(text: str | None) -> list[str]:
     return _WORD.findall((text or "").lower())
 
 
-_blocks: dict[str, bytes] = {}
-
-
-def block(word: str) -> bytes:
-    found = _blocks.get(word)
-    if found is None:
-        if len(_blocks) > MEMORY_WORDS:
-            _blocks.clear()
-        found = _blocks[word] = hashlib.md5(word.encode("utf-8", "replace")).digest()
-    return found
+def written(word: str) -> bytes:
+    """The bytes that stand for a word: for each letter a hash of the word so far."""
+    raw = word.encode("utf-8", "replace") if word.isascii() else None
+    out = []
+    for i in range(1, min(len(word), LETTERS) + 1):
+        start = raw[:i] if raw is not None else word[:i].encode("utf-8", "replace")
+        out.append(hashlib.blake2b(start, digest_size=LETTER_BYTES).digest())
+    return b"".join(out)
 
 
-def _trained(ranked: list[tuple[str, int]]) -> bytes:
-    """A dictionary from words with the number of documents that use them, the most telling word first."""
+def _trained(size: int, windows: list[bytes]) -> bytes:
     import zstandard
 
-    if not ranked:
-        return b""
-    pick, names, counts = random.Random(7), [w for w, _ in ranked], [n for _, n in ranked]
-    samples = [b"".join(block(w) for w in pick.choices(names, counts, k=WINDOW_WORDS)) for _ in range(4000)]
     try:
-        trained = zstandard.train_dictionary(DICTIONARY_BYTES, samples, k=32, d=8, level=LEVEL).as_bytes()
-        if all(block(w) in trained for w in names):
-            return trained
+        return zstandard.train_dictionary(size, windows, k=SEGMENT, d=DMER, level=LEVEL).as_bytes()
     except zstandard.ZstdError:
-        pass
-    # the trainer refuses tiny vocabularies, and may leave rare words out: then the words themselves are the dictionary
-    return b"".join(block(w) for w in reversed(names))
+        # the trainer refuses very little text: then the text itself is the dictionary
+        return b"".join(dict.fromkeys(windows))[-size:]
 
 
-@functools.lru_cache(maxsize=4)
-def _compressors(model: bytes):
+def _compressor(content: bytes):
     import zstandard
 
-    m: Model = pickle.loads(model)
-    out = []
-    for content in (m.toxic, m.ordinary):
-        settings = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
-        if content:
-            d = zstandard.ZstdCompressionDict(content)
-            d.precompute_compress(level=LEVEL)
-            settings["dict_data"] = d
-        out.append(zstandard.ZstdCompressor(**settings).compress)
-    return m, *out
-
-
-def distances(text: str | None, model: bytes) -> list[int]:
-    """For each window, the bytes by which the toxic dictionary compresses it better than the ordinary one."""
-    _, toxic, ordinary = _compressors(model)
-    coded = list(map(block, words(text)))
-    found = []
-    for at in range(0, len(coded), WINDOW_WORDS):
-        w = b"".join(coded[at : at + WINDOW_WORDS])
-        found.append(len(ordinary(w)) - len(toxic(w)))
-    return found
-
-
-def features(text: str | None, model: bytes) -> tuple[int, int]:
-    found = distances(text, model)
-    limit = _compressors(model)[0].distant
-    return max([0, *found]), sum(d >= limit for d in found)
-
-
-def score_of(most: float, many: float, weights: tuple[float, float, float]) -> float:
-    z = weights[0] + weights[1] * most / 16 + weights[2] * math.log1p(many)
+    settings = {"level": LEVEL, "write_content_size": False, "write_checksum": False, "write_dict_id": False}
+    if content:
+        known = zstandard.ZstdCompressionDict(content)
+        known.precompute_compress(level=LEVEL)
+        settings["dict_data"] = known
+    return zstandard.ZstdCompressor(**settings).compress
+
+
+class Distances:
+    """The distance of windows under two dictionaries; those of frequent words are remembered."""
+
+    def __init__(self, toxic: bytes, ordinary: bytes):
+        self._toxic, self._ordinary = _compressor(toxic), _compressor(ordinary)
+        self._memory: dict[str, int] = {}
+
+    def of(self, word: str) -> int:
+        window = written(word)
+        return len(self._ordinary(window)) - len(self._toxic(window))
+
+    def __call__(self, found: list[str]) -> list[int]:
+        """The distances of a text's windows."""
+        out = list(map(self._memory.get, found))
+        if None in out:
+            if len(self._memory) > MEMORY_WORDS:
+                self._memory.clear()
+            for i, d in enumerate(out):
+                if d is None:
+                    d = self._memory.get(found[i])
+                    out[i] = self._memory[found[i]] = self.of(found[i]) if d is None else d
+        return out
+
+
+def train(toxic: list[str], ordinary: list[str], candidate: tuple[int, int, int, int]) -> tuple[bytes, bytes]:
+    """Dictionaries of toxic and of ordinary windows (words)."""
+    large, small, rounds, times = candidate
+    memory: dict[str, bytes] = {}
+    for w in (*toxic, *ordinary):
+        if w not in memory:
+            memory[w] = written(w)
+    lost: list[str] = []
+    won = toxic
+    for n in range(rounds + 1):
+        made = _trained(small, [memory[w] for w in won]), _trained(large, [memory[w] for w in (*ordinary, *lost)])
+        if n < rounds:
+            distance = Distances(*made)
+            leans = {w: distance.of(w) > 0 for w in memory}
+            lost = [w for w in ordinary if leans[w]] * times
+            won = [w for w in toxic if leans[w]] or toxic
+    return made
+
+
+def features(found: list[int], distant: int) -> tuple[float, ...]:
+    """What the calibration weighs, of the distances of a text's windows."""
+    top = heapq.nlargest(3, found)
+    many = sum(d >= distant for d in top)
+    if many == 3:
+        many = sum(d >= distant for d in found)
+    return (top[0] / 16 if top else 0.0, math.log1p(many), math.log1p(100 * many / (len(found) + 20)), sum(top) / 48)
+
+
+def score_of(values: tuple[float, ...], weights: tuple[float, ...]) -> float:
+    z = weights[0] + sum(a * b for a, b in zip(values, weights[1:], strict=True))
     return 1 / (1 + math.exp(-max(-40.0, min(40.0, z))))
 
 
-def calibrated(rows: list[tuple[int, int, int, int]], shares: dict[int, float]) -> tuple[float, float, float]:
-    """Logistic weights from (greatest distance, distant windows, label, rows), with a small ridge.
-
-    shares: of each class among all labelled rows, which the sample may not have kept."""
-    x = np.array([[1.0, a / 16, math.log1p(b)] for a, b, _, _ in rows])
-    y = np.array([c for _, _, c, _ in rows], dtype=float)
-    n = np.array([d for _, _, _, d in rows], dtype=float)
-    for label in (0, 1):
-        n[y == label] *= 2000 * shares[label] / max(1.0, n[y == label].sum())
-    w = np.zeros(3)
-    for _ in range(50):
+def calibrated(x: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[tuple[float, ...], float]:
+    """Logistic weights with a small ridge, and the log-loss; n: the weight of each row."""
+    x = np.hstack([np.ones((len(x), 1)), x])
+    w = np.zeros(x.shape[1])
+    for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
         gradient = x.T @ (n * (y - p)) - 1e-2 * w
-        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(3)
+        curve = (x * (n * p * (1 - p))[:, None]).T @ x + 1e-2 * np.eye(len(w))
         step = np.linalg.solve(curve, gradient)
         w += step
         if np.abs(step).max() < 1e-9:
             break
-    return tuple(w.tolist())
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -30, 30))), 1e-12, 1 - 1e-12)
+    return tuple(w.tolist()), float(-(n * (y * np.log(p) + (1 - y) * np.log(1 - p))).sum() / n.sum())
 
 
 def held_out(id_col: Column) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % FOLDS == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Model:
+def _window_rows(texts: DataFrame) -> DataFrame:
+    """label, word, draw: every window of each text, the draw in [0, 2**32) from a hash of its text and place."""
+
+    def run(batches):
+        import xxhash
+
+        for batch in batches:
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
+                found = words(text)
+                if not found:
+                    continue
+                seed = xxhash.xxh32_intdigest(text.encode("utf-8", "replace"))
+                draw = ((np.arange(len(found), dtype=np.uint64) + np.uint64(seed)) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), label, np.int32)), pa.array(found, pa.string()), pa.array(draw.astype(np.int64))], names=["label", "word", "draw"]
+                )
+
+    return texts.select("label", "text").mapInArrow(run, "label int, word string, draw long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, windows: int = WINDOWS) -> Model:
     known = labels.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")).dropna().filter(~held_out(F.col("id")))
     known = known.groupBy("id").agg(F.max("label").cast("int").alias("label")).withColumn("draw", F.xxhash64("id"))
     known = staged(known, "toxicity-labels")
@@ -162,50 +212,68 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     chosen = sides[0].unionByName(sides[1]).select("id", "label")
     # at most twice the bound of small rows, whatever the input
     learned = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "id")
-    learned = staged(learned.select("text", "label"), "toxicity-sample")
-    totals = {r["label"]: r["n"] for r in learned.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not totals.get(0) or not totals.get(1):
+    # copies of a text would teach their own words
+    learned = learned.groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.max("label").alias("label"))
+    learned = learned.withColumn("calibrates", F.pmod(F.xxhash64("text"), F.lit(CALIBRATES)) == 0)
+    learned = staged(learned, "toxicity-sample")
+    parts = {(r["label"], r["calibrates"]): r["n"] for r in learned.groupBy("label", "calibrates").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if not all(any(parts.get((y, c)) for c in (True, False)) for y in (0, 1)):
         return Model(b"", b"")
-
-    def vocabulary(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    apart = all(parts.get((y, c)) for y in (0, 1) for c in (True, False))  # else too few documents to set some aside
+    texts = learned.filter("not calibrates") if apart else learned
+    rows = staged(_window_rows(texts), "toxicity-windows")
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    drawn = {}
+    for y in (0, 1):
+        below = int(min(1.0, windows / max(1, totals.get(y, 0))) * (1 << 32))
+        held = rows.filter((F.col("label") == y) & (F.col("draw") < below)).groupBy("word").agg(F.count(F.lit(1)).alias("n")).toPandas()
+        held = held.sort_values(["word"])
+        # in an order of their own, so that no stretch of the sample is one word
+        names = np.repeat(held["word"].to_numpy(dtype=object), held["n"].to_numpy(dtype=np.int64))
+        drawn[y] = names[np.random.default_rng(7).permutation(len(names))].tolist()
+    if not drawn[0] or not drawn[1]:
+        return Model(b"", b"")
+    made = [train(drawn[1], drawn[0], c) for c in CANDIDATES]
+    measured = _measured(learned.filter("calibrates") if apart else learned, made).toPandas()
+    best: tuple[float, Model] | None = None
+    for i, (toxic, ordinary) in enumerate(made):
+        for t in THRESHOLDS:
+            own = measured[(measured["candidate"] == i) & (measured["distant"] == t)]
+            x, y = own[[f"f{k}" for k in range(4)]].to_numpy(dtype=float), own["label"].to_numpy(dtype=float)
+            n = np.where(y == 1, shares[1] / max(1, (y == 1).sum()), shares[0] / max(1, (y == 0).sum())) * len(y)
+            weights, loss = calibrated(x, y, n)
+            if best is None or loss < best[0] - 1e-12:
+                best = loss, Model(toxic, ordinary, t, weights)
+    return best[1]
+
+
+def _measured(texts: DataFrame, made: list[tuple[bytes, bytes]]) -> DataFrame:
+    """The features of each text under each candidate and threshold: a bounded number of small rows."""
+    names = ("candidate", "distant", "label", "f0", "f1", "f2", "f3")
+
+    def run(batches):
+        measures = [Distances(*m) for m in made]
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                own = list(set(words(text)))
-                yield pd.DataFrame({"word": own, "label": [label] * len(own)})
-
-    used = learned.mapInPandas(vocabulary, "word string, label int").groupBy("word")
-    used = used.agg(F.sum("label").alias("t"), F.sum(1 - F.col("label")).alias("o")).filter(F.col("t") + F.col("o") >= LEAST_DOCS)
-    nt, no = float(totals[1]), float(totals[0])
-    used = staged(used, "toxicity-words")
-    # by chance fewer than one of all the words tested has a ratio above this
-    least = 2 * math.log(max(2, used.count()))
-    share = (F.col("t") + F.col("o")) / (nt + no)
-    term = lambda c, n: F.when(F.col(c) > 0, F.col(c) * F.log(F.col(c) / (share * n))).otherwise(0.0)
-    used = used.withColumn("ratio", 2 * (term("t", nt) + term("o", no))).filter(F.col("ratio") >= least)
-    leans = F.col("t") / nt > F.col("o") / no
-    dictionaries = []
-    for side, count, total in ((leans, "t", nt), (~leans, "o", no)):
-        top = used.filter(side & (F.col(count) >= LEAST_SHARE * total)).orderBy(F.col("ratio").desc(), "word").limit(DICTIONARY_WORDS).collect()
-        dictionaries.append(_trained([(r["word"], int(r[count])) for r in top]))
-    model = Model(*dictionaries)
-
-    def measured(packed: bytes):
-        @F.pandas_udf(T.StructType([T.StructField("most", T.IntegerType()), T.StructField("many", T.IntegerType())]))
-        def run(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-            for batch in texts:
-                yield pd.DataFrame([features(t, packed) for t in batch], columns=["most", "many"])
-
-        return run("text").alias("f")
-
-    # the threshold of a distant window: the greatest distance that best parts the classes
-    seen = learned.select(measured(pickle.dumps(model)), "label").groupBy("f.most", "label").agg(F.count(F.lit(1)).alias("n")).collect()
-    at = sorted({r["most"] for r in seen} - {0})
-    rate = lambda y, d: sum(r["n"] for r in seen if r["label"] == y and r["most"] >= d) / totals[y]
-    distant = max(at, key=lambda d: (rate(1, d) - rate(0, d), d), default=1)
-    model = Model(*dictionaries, distant=distant)
-    table = learned.select(measured(pickle.dumps(model)), "label").groupBy("f.most", "f.many", "label").agg(F.count(F.lit(1)).alias("n"))
-    rows = [(r["most"], r["many"], r["label"], r["n"]) for r in table.collect()]
-    return Model(*dictionaries, distant=distant, weights=calibrated(rows, shares))
+            rows = []
+            for label, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                found = words(text.as_py())
+                for i, measure in enumerate(measures):
+                    own = measure(found)
+                    rows += [(i, t, label, *features(own, t)) for t in THRESHOLDS]
+            yield pa.RecordBatch.from_pydict({n: pa.array([r[k] for r in rows], pa.int32() if k < 3 else pa.float64()) for k, n in enumerate(names)})
+
+    return texts.select("label", "text").mapInArrow(run, "candidate int, distant int, label int, f0 double, f1 double, f2 double, f3 double")
+
+
+@functools.lru_cache(maxsize=2)
+def _loaded(packed: bytes) -> tuple[Model, Distances]:
+    model: Model = pickle.loads(packed)
+    return model, Distances(model.toxic, model.ordinary)
+
+
+def score(text: str | None, packed: bytes) -> float:
+    model, distances = _loaded(packed)
+    return score_of(features(distances(words(text)), model.distant), model.weights)
 
 
 def scored(text: Column, model: Model) -> Column:
@@ -217,7 +285,7 @@ def scored(text: Column, model: Model) -> Column:
     @F.pandas_udf(T.DoubleType())
     def run(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in texts:
-            yield pd.Series([score_of(*features(t, packed), model.weights) for t in batch], dtype="float64")
+            yield pd.Series([score(t, packed) for t in batch], dtype="float64")
 
     return run(text)
 
