@@ -52,24 +52,32 @@ def pieces(
     path = tokenizer or bpe.default_path()
     names = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
 
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        columns = {n: pa.array([r[i] for r in rows], pa.int64()) for i, n in enumerate(names)}
-        if with_ids:
-            columns["ids"] = pa.array([r[5] for r in rows], pa.binary())
-        return pa.RecordBatch.from_pydict(columns)
-
     def cut(batches):
-        rows, held = [], 0
+        columns = tuple([] for _ in range(6))
+        ids_of, starts, lengths, sums, totals, packed = columns
         for doc_id, ids in bpe.encoded(batches, path):
-            n = len(ids) // 4
-            for start, length in cuts(n, longest):
-                own = ids[4 * start : 4 * (start + length)]
-                rows.append((doc_id, start, length, zlib.crc32(own), n, own if with_ids else None))
-            held += n
-            if held > 2_000_000:
-                yield batch_of(rows)
-                rows, held = [], 0
-        yield batch_of(rows)
+            n, view = len(ids) // 4, memoryview(ids)
+            own = cuts(n, longest)
+            for start, length in own:
+                piece = view[4 * start : 4 * (start + length)]
+                sums.append(zlib.crc32(piece))
+                if with_ids:
+                    packed.append(bytes(piece))
+            ids_of += [doc_id] * len(own)
+            totals += [n] * len(own)
+            starts += [s for s, _ in own]
+            lengths += [c for _, c in own]
+            if len(starts) > 50_000 or with_ids and len(starts) * longest > 4_000_000:
+                yield batch_of(columns)
+                for c in columns:
+                    c.clear()
+        yield batch_of(columns)
+
+    def batch_of(columns) -> pa.RecordBatch:
+        held = {n: pa.array(c, pa.int64()) for n, c in zip(names, columns, strict=False)}
+        if with_ids:
+            held["ids"] = pa.array(columns[5], pa.binary())
+        return pa.RecordBatch.from_pydict(held)
 
     schema = ", ".join(f"{n} long" for n in names) + (", ids binary" if with_ids else "")
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -84,7 +92,8 @@ def pack(docs: DataFrame, buckets: int = NUMBER_BUCKETS, **options) -> DataFrame
     before = Window.orderBy(F.col("length").desc(), "bucket").rowsBetween(Window.unboundedPreceding, -1)
     firsts = counts.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).cast("long").alias("first"))
     inside = Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32")
-    numbered = cut.withColumn("within", F.row_number().over(inside) - 1).join(firsts, ["length", "bucket"])
+    # a bounded table, so the pieces need no second exchange
+    numbered = cut.withColumn("within", F.row_number().over(inside) - 1).join(F.broadcast(firsts), ["length", "bucket"])
     return numbered.select(
         *[c for c in cut.columns if c != "bucket"],
         (F.col("first") + F.col("within")).cast("long").alias("sequence_id"),

@@ -4,11 +4,12 @@ A shard file holds the ids of a range of documents one after another (16 bits an
 32), then the document boundaries and the document ids, both Elias-Fano coded, then a footer that says where each part
 lies. Boundaries are read by select, so no table of 64-bit offsets is kept on disk or in memory.
 
-Documents are dealt to shards by ranges of their id and sorted within each, so shards in order give the corpus in
-ascending id order. A task writes under a name of its own and only a task that succeeds has its name in the manifest:
+Documents are dealt to shards by ranges of their id and of a hash of their text, and sorted by both within each, so
+shards in order give the corpus in ascending id order, and a repeated id is split like any other range. There are as
+many shards as the input's bytes ask for, so what a writer holds (16 bytes a document) is bounded. A task writes under a name of its own and only a task that succeeds has its name in the manifest:
 a lost executor leaves at most an unlisted file.
 
-Defined cases: a null id comes first; documents with equal ids follow each other in unspecified order; ids are signed
+Defined cases: a null id comes first; documents with equal ids follow each other in the order of a hash of their text; ids are signed
 64-bit; a null or empty text has only the end id; an empty table writes no file and gives no rows; other columns are
 ignored. A text of any length is encoded whole.
 """
@@ -19,6 +20,7 @@ import json
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,6 +35,8 @@ from .scratch import fresh_path, staged
 FOOTER = struct.Struct("<QQQQQ4s4x")  # ids, documents, null ids, start of boundaries, start of document ids
 MAGIC = b"EFT1"
 SHIFT = np.uint64(1 << 63)
+#: Bytes of text of a shard, about.
+SHARD_BYTES = 128_000_000
 #: Ids that a reader holds at a time.
 READ_IDS = 4_000_000
 
@@ -53,8 +57,7 @@ class ShardWriter:
         self._final, self._temporary = f"{base}/{self.name}", f"{base}/.{self.name}.part"
         self._out = self._fs.open_output_stream(self._temporary)
         self._kind = "<u2" if width == 2 else "<u4"
-        self._lengths: list[int] = []
-        self._keys: list[int] = []
+        self._lengths, self._keys = array("q"), array("q")
         self._nulls = 0
 
     def add(self, doc_id: int | None, ids: bytes) -> None:
@@ -143,12 +146,15 @@ def write(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str =
             )
 
     ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ordered = ordered.repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    size = ordered.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = max(docs.sparkSession.sparkContext.defaultParallelism, -(-size // SHARD_BYTES))
+    ordered = ordered.withColumn("mark", F.xxhash64(F.coalesce("text", F.lit(""))))
+    ordered = ordered.repartitionByRange(shards, "doc_id", "mark").sortWithinPartitions("doc_id", "mark").drop("mark")
     listed = ordered.mapInArrow(tokenised, "path string, documents long, ids long, first long")
     listed = listed.select("*", F.spark_partition_id().alias("part"))
     listed = staged(listed, "token-manifest")
     # one row a shard: a list that is small beside the files it names
-    order = Window.orderBy(F.col("first").asc_nulls_first(), "part")
+    order = Window.orderBy("part")
     return listed.select(
         "path",
         "documents",
