@@ -1,235 +1,343 @@
-"""Substring deduplication with sliding sentence spans, and with word windows where sentences do not line up.
-
-A text is cut into sentences: up to and with its closing marks and line ends, or up to a line end. Every run of SPAN
-consecutive sentences is hashed to 128 bits. The occurrence with the smallest (id, position) of a hash is the first;
-every sentence that any other occurrence covers is removed. The first occurrence comes from an aggregation that is
-partial before the exchange, and only hashes that repeat are joined back, so a passage in a third of all documents is
-never gathered.
-
-A passage of over 50 words need not hold SPAN whole sentences. So every word that lies in a window of WINDOW words which
-also starts earlier is removed too, wherever sentences begin or end. Windows are not all exchanged: a window's anchor is
-the least hash among its runs of GRAM words, so equal windows have equal anchors, and only windows whose anchor is in
-several places are hashed and met. Texts that are equal as a whole meet by their hash; only the first goes on.
-
-Sentences are compared with white space trimmed and runs of it as one space, windows word by word. Words are cut at
-ASCII white space. Whole texts are read.
-
-Defined cases: a null text counts as empty and has no sentences; texts with fewer than SPAN sentences and fewer than
-WINDOW words lose nothing; a run that repeats within one text loses its later occurrences; rows that repeat both the id
-and the text are one document read twice and keep or lose the same; a null id comes first; different texts under one
-id come in the order of a hash; the white space around a removed window stays; other columns are ignored.
+"""Substring deduplication with sliding sentence spans.
+
+A text is cut into sentences: after a word that ends in one of . ! ? and at line ends. Passages that repeat often begin
+and end inside sentences, so sentences are cut further where only their own words decide: before each word whose value
+is the least in some CUT consecutive words of the sentence. Every run of consecutive pieces, from each piece on until it
+holds RUN words or more, is hashed to 128 bits. The occurrence with the smallest (id, position) of a hash is the first;
+every piece that any other occurrence covers is removed.
+
+Equal words are cut alike but for CUT - 1 words at either end, so of two equal passages of 4 * CUT - 3 + RUN words
+(51), wherever they begin, some run is hashed in both. What lies outside whole runs at the two ends of a repeated
+passage stays, 2 * CUT words or so. Shorter repeats, such as a line that many documents share, stay as they are.
+
+Runs are not all exchanged. A run's anchor is the least hash among the GRAM words long grams of its first RUN words, so
+equal runs have equal anchors, and neighbouring runs mostly share one. A first exchange holds anchors with a mark of
+their text, pre-aggregated; those met in one place alone go no further. The others go into a bitmap of fixed size, so
+that the second scan sends on only runs whose anchor is in several places; a false hit costs one row and changes no
+result. Runs that repeat are joined back with the first occurrence, which comes from an aggregation that is partial
+before the exchange, so a passage in a third of all documents is never gathered. Texts equal as a whole are known by
+their hash: only the first counts as an occurrence.
+
+Words are cut at ASCII white space and compared byte for byte, white space between them does not matter. Whole texts
+are read.
+
+Defined cases: a null text counts as empty and has no pieces; texts with fewer than RUN words lose nothing; a run that
+repeats within one text loses its later occurrences; rows that repeat both the id and the text are one document read
+twice and keep or lose the same; a null id comes first; different texts under one id come in the order of a hash; the
+white space after a removed piece goes with it, that before the first word stays; an empty table gives no rows; other
+columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
-import re
-from bisect import bisect_left, bisect_right
-from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .scratch import staged
-from .suffixes import _frame, _gram_hashes, _least
 
-SPAN = 3
-SENTENCE = r"[^.!?\n]*[.!?]+\n*|[^.!?\n]+\n*|\n+"
-_PIECES = re.compile(SENTENCE).findall
-#: Words of a window, and of the runs among which its anchor is the least.
-WINDOW = 51
-GRAM = 25
-_WORDS = re.compile(r"[^\x20\x09-\x0D]+").finditer
-_SECOND = np.uint64(0x165667B19E3779F9)
-#: Among the starts of a document, stands for all of its windows; other windows stand as their complement.
-_ALL = -(1 << 31)
-
-
-def run_hashes(text: str | None, span: int = SPAN) -> np.ndarray:
-    """Two 64-bit halves of the hash of each run of `span` sentences."""
-    import xxhash
-
-    pieces = [b" ".join(p.encode("utf-8", "replace").split()) for p in _PIECES(text or "")]
-    digests = [xxhash.xxh3_128_digest(b"\n".join(pieces[i : i + span])) for i in range(len(pieces) - span + 1)]
-    return np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2)
-
-
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """doc_id, own (tells texts under one id apart), pos, and the hash (h, g) of every run."""
-
-    def run(batches):
+#: Consecutive words of a sentence of which the least valued begins a piece; the least number of words in a run; and the
+#: words of a gram.
+CUT, RUN, GRAM = 5, 34, 16
+#: Characters of text that are laid out at a time.
+GROUP_CHARS = 1_000_000
+#: Bits of the bitmap of anchors in several places: 16 MB wherever it is sent, whatever the input.
+BITMAP_BITS = 1 << 27
+SEGMENT_BITS = 1 << 16
+#: The places of a copied text stand as all of its runs.
+_ALL = -1
+_MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
+# Weights of the characters of a word in its value.
+VALUE_FIRST, VALUE_SECOND, VALUE_LAST, VALUE_BEFORE_LAST, VALUE_LENGTH = 131071, 8191, 524287, 127, 65537
+VALUE_FACTOR, VALUE_PRIME = 48271, 2147483647
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
+    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
+    return x ^ (x >> np.uint64(31))
+
+
+class _Powers:
+    """The powers of an odd number and of its inverse, modulo 2**64."""
+
+    def __init__(self, base: int):
+        self._bases = [np.uint64(base), np.uint64(pow(base, -1, 1 << 64))]
+        self._held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+    def __call__(self, n: int) -> list[np.ndarray]:
+        if len(self._held[0]) < n:
+            for k, base in enumerate(self._bases):
+                steps = np.full(2 * n, base, np.uint64)
+                steps[0] = 1
+                self._held[k] = np.cumprod(steps, dtype=np.uint64)
+        return [h[:n] for h in self._held]
+
+
+_powers = [_Powers(int(m)) for m in _MIX[:2]]
+_coefficients = np.zeros(0, np.uint64)
+
+
+def _letters(n: int) -> np.ndarray:
+    global _coefficients
+    if len(_coefficients) < n:
+        _coefficients = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * _MIX[0]) | np.uint64(1)
+    return _coefficients
+
+
+def _windowed(values: np.ndarray, many: int, least) -> np.ndarray:
+    span = 1
+    while span < many:
+        step = min(span, many - span)
+        values = least(values[:-step], values[step:])
+        span += step
+    return values
+
+
+@dataclass
+class Layout:
+    """Texts one after another: words, pieces and runs. Words are numbered throughout, characters by code point."""
+
+    begins: np.ndarray  # the first character of each text, and the end
+    words: np.ndarray  # the first character of each word
+    firsts: np.ndarray  # the first word of each text, and the end
+    pieces: np.ndarray  # the first word of each piece, and the end
+    runs: np.ndarray  # the first word of each run
+    stops: np.ndarray  # the word after each run
+    own: np.ndarray  # each word as a number
+
+    def text_of(self, words: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.firsts, words, side="right") - 1
+
+    def hashes(self, chosen: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit halves of the hash of the chosen runs."""
+        runs, stops, halves = self.runs[chosen], self.stops[chosen], []
+        for powers in _powers:
+            up, down = powers(len(self.own))
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.own * up, dtype=np.uint64)])
+            halves.append(_mixed((sums[stops] - sums[runs]) * down[runs] ^ (stops - runs).astype(np.uint64)).view(np.int64))
+        return halves
+
+    def anchors(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The anchor of each run; and the places of all anchors (words) with their hashes."""
+        gram = min(GRAM, run)
+        if not len(self.runs):
+            return np.zeros(0, np.uint64), self.runs, np.zeros(0, np.uint64)
+        grams, span = self.own, 1
+        while span < gram:
+            step = min(span, gram - span)
+            grams = _mixed(grams[:-step] * _MIX[0] + grams[step:] * _MIX[3])
+            span += step
+        many = run - gram + 1
+        least = _windowed(grams, many, np.minimum)
+        of_runs = least[self.runs]
+        only = np.zeros(len(least), np.uint64)
+        only[self.runs] = of_runs
+        pad = np.zeros(many - 1, np.uint64)
+        places = np.flatnonzero(_windowed(np.concatenate([pad, only, pad]), many, np.maximum) == grams)
+        return of_runs, places, grams[places]
+
+
+def laid_out(texts: list[str], cut: int = CUT, run: int = RUN) -> Layout:
+    chars = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    begins = np.concatenate([[0], np.cumsum([len(t) for t in texts], dtype=np.int64)]).astype(np.int64)
+    n = len(chars)
+    space = (chars == 0x20) | (chars - np.uint32(9) <= 4)
+    edge = np.zeros(n + 1, dtype=bool)  # a text begins
+    edge[begins] = True
+    starts = np.flatnonzero(~space & (edge[:n] | np.concatenate([[True], space[:-1]]))) if n else np.zeros(0, np.int64)
+    ends = np.flatnonzero(~space & (edge[1:] | np.concatenate([space[1:], [True]]))) + 1 if n else starts
+    many = len(starts)
+    firsts = np.searchsorted(starts, begins)
+    if not many:
+        return Layout(begins, starts, firsts, np.zeros(1, np.int64), starts, starts, np.zeros(0, np.uint64))
+    lengths = ends - starts
+    # words as 64-bit numbers
+    at = np.flatnonzero(~space)
+    offset = at - np.repeat(starts, lengths)
+    own = np.add.reduceat((chars[at].astype(np.uint64) + np.uint64(1)) * _letters(int(lengths.max()))[offset], np.cumsum(lengths) - lengths)
+    own = _mixed(own ^ lengths.astype(np.uint64) * _MIX[3])
+    ascending = [chars[i].astype(np.int64) for i in (starts, np.minimum(starts + 1, ends - 1), ends - 1, np.maximum(ends - 2, starts))]
+    value = sum(c * k for c, k in zip(ascending, (VALUE_FIRST, VALUE_SECOND, VALUE_LAST, VALUE_BEFORE_LAST), strict=True))
+    value = (value + lengths * VALUE_LENGTH) * VALUE_FACTOR % VALUE_PRIME
+    # where sentences begin
+    last = chars[ends - 1]
+    lines = np.concatenate([[0], np.cumsum(chars == 10)])
+    closes = (last == ord(".")) | (last == ord("!")) | (last == ord("?"))
+    closes[:-1] |= lines[starts[1:]] > lines[ends[:-1]]
+    begin = np.zeros(many + 1, dtype=bool)
+    begin[firsts] = True
+    begin[1:] |= closes
+    sentence = np.cumsum(begin[:many])
+    if many >= cut:
+        least = np.where(sentence[: many - cut + 1] == sentence[cut - 1 :], _windowed(value, cut, np.minimum), -1)
+        pad = np.full(cut - 1, -1, np.int64)
+        begin[:many] |= _windowed(np.concatenate([pad, least, pad]), cut, np.maximum) == value
+    begin[many] = True
+    pieces = np.flatnonzero(begin)
+    # runs end with their text at the latest
+    after = np.repeat(firsts[1:], np.diff(firsts))
+    runs = pieces[:-1]
+    runs = runs[runs + run <= after[runs]]
+    stops = pieces[np.searchsorted(pieces, runs + run)]
+    return Layout(begins, starts, firsts, pieces, runs, stops, own)
+
+
+def _groups(texts: pa.Array):
+    """(first row, texts) of about GROUP_CHARS characters each."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).cumsum()
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + GROUP_CHARS, side="right")))
+        yield low, [t or "" for t in texts[low:high].to_pylist()]
+        low = high
+
+
+def _frame(names, *arrays) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=list(names))
+
+
+def _chosen(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("own"), F.xxhash64(F.lit(1), text).alias("same"), F.col(text_col).alias("text"))
+
+
+def _marks(texts: DataFrame, cut: int, run: int) -> DataFrame:
+    """(h, own): the anchors of each text; one that a text has in several places comes with two marks."""
+
+    def found(batches):
         for batch in batches:
-            found = [run_hashes(t.as_py(), span) for t in batch.column(2)]
-            sizes = np.array([len(f) for f in found], dtype=np.int64)
-            hashes = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-            rows = pa.array(np.repeat(np.arange(len(sizes)), sizes))
-            pos = np.arange(len(hashes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(pos.astype(np.int32)), pa.array(hashes[:, 0].copy()), pa.array(hashes[:, 1].copy())],
-                names=["doc_id", "own", "pos", "h", "g"],
-            )
-
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.col(text_col).alias("text"))
-    return base.mapInArrow(run, "doc_id long, own long, pos int, h long, g long")
-
-
-def word_hashes(text: str | None) -> np.ndarray:
-    import xxhash
-
-    words = (text or "").encode("utf-8", "replace").split()
-    return np.fromiter(map(xxhash.xxh64_intdigest, words), dtype=np.uint64, count=len(words))
-
+            owns = batch.column(0).to_numpy(zero_copy_only=False)
+            for low, texts in _groups(batch.column(1)):
+                lay = laid_out(texts, cut, run)
+                _, places, h = lay.anchors(run)
+                text, h = lay.text_of(places), h.view(np.int64)
+                own = owns[low + text]
+                order = np.lexsort((text, own, h))
+                h, own, text = h[order], own[order], text[order]
+                again = np.zeros(len(h), dtype=bool)
+                again[1:] = (h[1:] == h[:-1]) & (own[1:] == own[:-1])
+                # a copy of a text says nothing new, a repeat inside one text does
+                inner = again.copy()
+                inner[1:] &= text[1:] == text[:-1]
+                yield _frame(("h", "own"), np.concatenate([h[~again], h[inner]]), np.concatenate([own[~again], ~own[inner]]))
+
+    return texts.select("own", "text").mapInArrow(found, "h long, own long")
+
+
+def _bitmap(hashes: DataFrame) -> np.ndarray:
+    """The bits of the hashes (h), built where they are; what reaches the driver has BITMAP_BITS bits."""
+    slot = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
+    segments = hashes.select(F.shiftright(slot, 16).alias("segment"), slot.bitwiseAND(F.lit(SEGMENT_BITS - 1)).alias("bit"))
+    words = segments.groupBy("segment", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
+    held = words.groupBy("segment").agg(F.collect_list(F.struct("word", "mask")).alias("words"))
+
+    def packed(batches):
+        for batch in batches:
+            rows = []
+            for words in batch.column(1):
+                own = np.zeros(SEGMENT_BITS // 64, np.int64)
+                own[words.values.field(0).to_numpy(zero_copy_only=False)] = words.values.field(1).to_numpy(zero_copy_only=False)
+                rows.append(own.tobytes())
+            yield _frame(("segment", "bits"), batch.column(0), pa.array(rows, pa.binary()))
 
-def window_anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The anchor of each window of a text, and the anchors that lie in several places of it."""
-    if len(words) < WINDOW:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    grams, many = _gram_hashes(words, GRAM), WINDOW - GRAM + 1
-    least = _least(grams, many)
-    # a run is an anchor if it is the least of some window around it, ties included: equal windows have it in two places
-    pad = np.zeros(many - 1, np.uint64)
-    top = ~_least(~np.concatenate([pad, least, pad]), many)
-    own, counts = np.unique(grams[grams == top], return_counts=True)
-    return least.view(np.int64), own[counts > 1].view(np.int64)
+    out = np.zeros((BITMAP_BITS // SEGMENT_BITS, SEGMENT_BITS // 64), np.uint64)
+    for row in held.mapInArrow(packed, "segment long, bits binary").collect():  # bounded: a row for each segment
+        out[row["segment"]] = np.frombuffer(row["bits"], np.uint64)
+    return out.ravel()
 
 
-def _anchor_rows(texts: DataFrame) -> DataFrame:
-    """(a, own): the anchors of each text; one that a text has in several places comes with two marks."""
+def _runs(texts: DataFrame, bits: np.ndarray, cut: int, run: int) -> DataFrame:
+    """doc_id, own, pos (word) and hash (h, g) of the runs whose anchor may be in several places."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # BITMAP_BITS bits
 
-    def run(batches):
+    def found(batches):
+        known = shared.value
         for batch in batches:
-            anchors, marks, held = [], [], 0
-            for own, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                found, several = window_anchors(word_hashes(text.as_py()))
-                found = np.unique(found)
-                anchors += [found, several]
-                marks += [np.full(len(found), own, np.int64), np.full(len(several), ~own, np.int64)]
-                held += len(found) + len(several)
-                if held > 200_000:
-                    yield _frame(("a", "own"), np.concatenate(anchors), np.concatenate(marks))
-                    anchors, marks, held = [], [], 0
-            if held:
-                yield _frame(("a", "own"), np.concatenate(anchors), np.concatenate(marks))
-
-    return texts.select("own", "text").mapInArrow(run, "a long, own long")
-
-
-def _window_rows(texts: DataFrame) -> DataFrame:
-    """doc_id, own, pos, and the hash (h, g) of every window under the anchors listed for each text."""
-    names = ("doc_id", "own", "pos", "h", "g")
-
-    def run(batches):
-        for batch in batches:
-            rows, held = [], 0
-            for i, text in enumerate(batch.column(2)):
-                words = word_hashes(text.as_py())
-                listed = batch.column(3)[i].values.to_numpy(zero_copy_only=False)
-                pos = np.flatnonzero(np.isin(window_anchors(words)[0], listed))
-                h, g = (_gram_hashes(w, WINDOW)[pos].view(np.int64) for w in (words, (words ^ (words >> np.uint64(31))) * _SECOND))
-                rows.append((np.full(len(pos), i), pos.astype(np.int32), h, g))
-                held += len(pos)
-                if held > 200_000:
-                    yield whole(batch, rows)
-                    rows, held = [], 0
-            if held:
-                yield whole(batch, rows)
-
-    def whole(batch, rows):
-        at, pos, h, g = (np.concatenate(part) for part in zip(*rows, strict=True))
-        return _frame(names, batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pos, h, g)
-
-    return texts.select("doc_id", "own", "text", "anchors").mapInArrow(run, "doc_id long, own long, pos int, h long, g long")
-
-
-def _later(found: DataFrame, name: str) -> DataFrame:
-    """doc_id, own and pos of all places of a hash but the first."""
+            for low, texts in _groups(batch.column(2)):
+                lay = laid_out(texts, cut, run)
+                slot = lay.anchors(run)[0] & np.uint64(BITMAP_BITS - 1)
+                keep = np.flatnonzero((known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                if len(keep):
+                    text = lay.text_of(lay.runs[keep])
+                    rows = pa.array(text + low)
+                    pos = (lay.runs[keep] - lay.firsts[text]).astype(np.int32)
+                    yield _frame(("doc_id", "own", "pos", "h", "g"), batch.column(0).take(rows), batch.column(1).take(rows), pos, *lay.hashes(keep))
+
+    return texts.select("doc_id", "own", "text").mapInArrow(found, "doc_id long, own long, pos int, h long, g long")
+
+
+def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = CUT, run: int = RUN) -> DataFrame:
+    """doc_id, own and starts (words), in each document that has any: where runs that are not the first begin.
+
+    A text that stands whole in an earlier document has _ALL among its starts.
+    """
+    texts = _chosen(docs, id_col, text_col)
+    shared = _marks(texts, cut, run).groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("h")
+    found = staged(_runs(texts, _bitmap(shared), cut, run), "sentence-runs")
     place = F.struct("doc_id", "own", "pos")
     firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # written, so that both sides of the join are dealt anew and a hot run can be split
-    firsts = staged(firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first"), f"{name}-firsts")
-    return found.join(firsts, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "own", "pos")
-
-
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, own and pos: where windows that also start earlier begin, as complements; _ALL for a copied text."""
-    text = F.col(text_col)
-    texts = docs.filter(F.octet_length(text) >= 2 * WINDOW - 1).select(
-        F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("own"), F.sha2(text, 256).alias("sha"), text.alias("text")
-    )
-    anchors = staged(_anchor_rows(texts), "window-anchors")
-    shared = anchors.groupBy("a").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("a")
-    shared = staged(shared, "window-shared")
-    listed = anchors.join(shared, "a").groupBy("own").agg(F.collect_set("a").alias("anchors"))
-    whole = staged(texts.select("doc_id", "own", "sha"), "window-texts")
-    groups = staged(whole.groupBy("own", "sha").agg(F.min(F.struct("doc_id")).alias("least"), F.max(F.struct("doc_id")).alias("most")), "window-groups")
-    groups = groups.select("own", "sha", F.col("least.doc_id").alias("keep"), F.col("most.doc_id").alias("most"))
-    plan = staged(groups.select(F.col("own").alias("of"), "keep").join(listed.withColumnRenamed("own", "of"), "of"), "window-plan")
-    # the id is part of the key, so the copies of one text are spread and meet nothing
-    first = texts.join(plan, (F.col("own") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "own", "text", "anchors")
-    later = _later(staged(_window_rows(first), "window-rows"), "window").withColumn("pos", F.bitwise_not("pos"))
-    many = groups.filter(~F.col("keep").eqNullSafe(F.col("most"))).select(F.col("own").alias("of"), F.col("sha").alias("same"), "keep")
-    copies = whole.join(many, (F.col("own") == F.col("of")) & (F.col("sha") == F.col("same")) & ~F.col("doc_id").eqNullSafe(F.col("keep")))
-    return later.unionByName(copies.select("doc_id", "own", F.lit(_ALL).alias("pos")))
-
-
-def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """doc_id, own and starts: where non-first runs and (complements) windows begin, in each document that has any."""
-    found = staged(spans(docs, id_col, text_col, span), "sentence-spans")
-    later = _later(found, "sentence").unionByName(repeated_windows(docs, id_col, text_col))
-    return later.groupBy("doc_id", "own").agg(F.collect_set("pos").alias("starts"))
-
-
-def cut(text: str | None, starts, span: int = SPAN) -> tuple[str | None, list[tuple[int, int]], int, int]:
-    """The text without what runs and windows at `starts` cover, the removed spans in code points, the sentences that
-    lose something, and all sentences."""
-    pieces = _PIECES(text or "")
-    starts = [] if starts is None else [int(p) for p in starts]
-    edges = np.cumsum([0, *map(len, pieces)]).tolist()
-    lost = [(edges[p], edges[p + span]) for p in starts if p >= 0]
-    windows = sorted(~p for p in starts if p < 0)
-    if windows:
-        words = [m.span() for m in _WORDS(text)]
-        if windows[-1] == ~_ALL:
-            windows = range(len(words) - WINDOW + 1)
-        lost += [(words[w][0], words[w + WINDOW - 1][1]) for w in windows]
-    removed: list[tuple[int, int]] = []
-    for a, b in sorted(lost):
-        if removed and a <= removed[-1][1]:
-            removed[-1] = (removed[-1][0], max(removed[-1][1], b))
-        else:
-            removed.append((a, b))
-    kept, at, gone = [], 0, set()
-    for a, b in removed:
-        kept.append(text[at:a])
-        at = b
-        gone.update(range(bisect_right(edges, a) - 1, bisect_left(edges, b)))
-    return (text if text is None else "".join([*kept, text[at:]])), removed, len(gone), len(pieces)
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", span: int = SPAN) -> DataFrame:
-    """doc_id, text (what is kept), n_sentences, n_removed (that lose something) and removed (start:end in code points,
+    firsts = staged(firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first"), "sentence-firsts")
+    later = found.join(firsts, ["h", "g"]).filter(~place.eqNullSafe(F.col("first"))).select("doc_id", "own", "pos")
+    whole = staged(texts.select("doc_id", "own", "same"), "sentence-texts")
+    groups = whole.groupBy("own", "same").agg(F.min(F.struct("doc_id")).alias("least"), F.max(F.struct("doc_id")).alias("most"))
+    groups = groups.filter(~F.col("least").eqNullSafe(F.col("most"))).select("own", "same", F.col("least.doc_id").alias("keep"))
+    groups = staged(groups, "sentence-copied")
+    copies = whole.join(groups, ["own", "same"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep")))
+    lost = later.unionByName(copies.select("doc_id", "own", F.lit(_ALL).alias("pos")))
+    return staged(lost.groupBy("doc_id", "own").agg(F.collect_set("pos").alias("starts")), "sentence-starts")
+
+
+def removed_pieces(lay: Layout, i: int, starts: np.ndarray | None) -> np.ndarray:
+    """Which pieces of the i-th text go, if runs at `starts` (words of the text) do."""
+    low, high = np.searchsorted(lay.pieces, lay.firsts[i : i + 2])
+    change = np.zeros(high - low + 1, dtype=np.int64)
+    if starts is not None and len(starts) and high > low:
+        a, b = np.searchsorted(lay.runs, lay.firsts[i : i + 2])
+        own = np.arange(a, b) if (starts == _ALL).any() else np.searchsorted(lay.runs, starts + lay.firsts[i])
+        np.add.at(change, np.searchsorted(lay.pieces, lay.runs[own]) - low, 1)
+        np.add.at(change, np.searchsorted(lay.pieces, lay.stops[own]) - low, -1)
+    return np.cumsum(change)[:-1] > 0
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cut: int = CUT, run: int = RUN) -> DataFrame:
+    """doc_id, text (what is kept), n_sentences (pieces), n_removed (of these) and removed (start:end in code points,
     comma-joined)."""
-    found = repeated(docs, id_col, text_col, span).select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), "starts")
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("own"))
+    found = repeated(docs, id_col, text_col, cut, run).select(F.col("doc_id").alias("__id"), F.col("own").alias("__own"), "starts")
+    texts = _chosen(docs, id_col, text_col)
     joined = texts.join(found, texts.doc_id.eqNullSafe(found["__id"]) & (texts.own == found["__own"]), "left")
-    kind = T.StructType(
-        [T.StructField("text", T.StringType()), T.StructField("n_sentences", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("removed", T.StringType())]
-    )
-
-    @F.pandas_udf(kind)
-    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        for texts, starts in batches:
-            rows = []
-            for text, at in zip(texts, starts, strict=True):
-                kept, removed, gone, n = cut(text, at, span)
-                rows.append((kept, n, gone, ",".join(f"{a}:{b}" for a, b in removed)))
-            yield pd.DataFrame(rows, columns=["text", "n_sentences", "n_removed", "removed"])
+    names = ("doc_id", "text", "n_sentences", "n_removed", "removed")
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string())
 
-    return joined.select("doc_id", run("text", "starts").alias("r")).select("doc_id", "r.*")
+    def removed(batches):
+        for batch in batches:
+            ids, lost, null = batch.column(0), batch.column(2), batch.column(1).is_null().to_pylist()
+            for low, group in _groups(batch.column(1)):
+                lay, rows = laid_out(group, cut, run), []
+                for i, text in enumerate(group):
+                    starts = lost[low + i].values
+                    gone = removed_pieces(lay, i, None if starts is None else starts.to_numpy(zero_copy_only=False).astype(np.int64))
+                    spans = ""
+                    if gone.any():
+                        first = np.searchsorted(lay.pieces, lay.firsts[i])
+                        marks = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
+                        edges = np.append(lay.words[lay.pieces[first : first + len(gone)]] - lay.begins[i], len(text))
+                        pairs = edges[marks].reshape(-1, 2).tolist()
+                        at, kept = 0, []
+                        for a, b in pairs:
+                            kept.append(text[at:a])
+                            at = b
+                        text = "".join([*kept, text[at:]])
+                        spans = ",".join(f"{a}:{b}" for a, b in pairs)
+                    rows.append((ids[low + i].as_py(), None if null[low + i] else text, len(gone), int(gone.sum()), spans))
+                yield _frame(names, *[pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)])
+
+    return joined.select("doc_id", "text", "starts").mapInArrow(removed, "doc_id long, text string, n_sentences long, n_removed long, removed string")
 
 
 def op4_sentence_spans(spark, sf_dir: str) -> DataFrame:
@@ -237,23 +345,38 @@ def op4_sentence_spans(spark, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_sentences", "n_removed", "removed", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"))
 
 
+_VALUE = (
+    f"(unicode(k[1]) * {VALUE_FIRST}::BIGINT + unicode(k[least(2, length(k))]) * {VALUE_SECOND}::BIGINT + unicode(k[length(k)]) * {VALUE_LAST}::BIGINT"
+    f" + unicode(k[greatest(length(k) - 1, 1)]) * {VALUE_BEFORE_LAST}::BIGINT + length(k) * {VALUE_LENGTH}::BIGINT) * {VALUE_FACTOR} % {VALUE_PRIME}"
+)
 ORACLE = rf"""
-WITH p AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{SENTENCE}') AS pieces FROM documents),
-s AS (SELECT doc_id, i, pieces[i] AS raw, trim(regexp_replace(pieces[i], '[\x20\x09-\x0D]+', ' ', 'g')) AS k
-      FROM (SELECT doc_id, pieces, unnest(range(1, len(pieces) + 1)) AS i FROM p)),
-r AS (SELECT doc_id, i, k || chr(10) || lead(k, 1) OVER w || chr(10) || lead(k, 2) OVER w AS run FROM s
-      WINDOW w AS (PARTITION BY doc_id ORDER BY i)),
-n AS (SELECT doc_id, i, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM r WHERE run IS NOT NULL),
-g AS (SELECT DISTINCT doc_id, i + d AS i FROM n, (VALUES (0), (1), (2)) v(d) WHERE nth > 1),
-f AS (SELECT s.doc_id, s.i, raw, g.i IS NOT NULL AS gone,
-             sum(length(raw)) OVER (PARTITION BY s.doc_id ORDER BY s.i) AS stop
-      FROM s LEFT JOIN g ON s.doc_id = g.doc_id AND s.i = g.i),
-x AS (SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part FROM f WHERE gone),
-y AS (SELECT doc_id, string_agg(a || ':' || b, ',' ORDER BY a) AS removed FROM (
-        SELECT doc_id, min(stop - length(raw))::BIGINT AS a, max(stop)::BIGINT AS b FROM x GROUP BY doc_id, part) GROUP BY doc_id),
-z AS (SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (gone) AS n_removed,
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+[\x20\x09-\x0D]*') AS raws FROM documents),
+w AS MATERIALIZED (SELECT doc_id, i, n, raw, regexp_replace(raw, '[\x20\x09-\x0D]+$', '') AS k
+      FROM (SELECT doc_id, i, len(raws) AS n, raws[i] AS raw FROM (SELECT doc_id, raws, unnest(range(1, len(raws) + 1)) AS i FROM t))),
+v AS (SELECT *, {_VALUE} AS v,
+             coalesce(lag(regexp_matches(k, '[.!?]$') OR contains(raw, chr(10))) OVER (PARTITION BY doc_id ORDER BY i), true) AS opens FROM w),
+s AS (SELECT *, sum(opens::INT) OVER (PARTITION BY doc_id ORDER BY i) AS sentence FROM v),
+m AS (SELECT *, CASE WHEN count(*) OVER ahead = {CUT} THEN min(v) OVER ahead ELSE -1 END AS least FROM s
+      WINDOW ahead AS (PARTITION BY doc_id, sentence ORDER BY i ROWS BETWEEN CURRENT ROW AND {CUT - 1} FOLLOWING)),
+b AS MATERIALIZED (SELECT *, opens OR v = max(least) OVER (PARTITION BY doc_id, sentence ORDER BY i ROWS BETWEEN {CUT - 1} PRECEDING AND CURRENT ROW) AS cut FROM m),
+p AS MATERIALIZED (SELECT doc_id, i, n FROM b WHERE cut),
+e AS (SELECT doc_id, i FROM p UNION SELECT DISTINCT doc_id, n + 1 FROM p),
+r AS (SELECT p.doc_id, p.i, e.i AS stop FROM (SELECT doc_id, i, i + {RUN} AS want FROM p WHERE i + {RUN} <= n + 1) p
+      ASOF JOIN e ON p.doc_id = e.doc_id AND e.i >= p.want),
+l AS (SELECT doc_id, list(k ORDER BY i) AS ks FROM b GROUP BY doc_id),
+h AS (SELECT r.doc_id, r.i, r.stop, array_to_string(ks[r.i : r.stop - 1], ' ') AS run FROM r JOIN l USING (doc_id)),
+g AS MATERIALIZED (SELECT doc_id, i, stop FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY doc_id, i) AS nth FROM h) WHERE nth > 1),
+d AS (SELECT doc_id, i, sum(x) AS x FROM (SELECT doc_id, i, 1 AS x FROM g UNION ALL SELECT doc_id, stop, -1 FROM g) GROUP BY doc_id, i),
+f AS MATERIALIZED (SELECT b.doc_id, b.i, raw, cut, sum(coalesce(x, 0)) OVER (PARTITION BY b.doc_id ORDER BY b.i) > 0 AS gone,
+             sum(length(raw)) OVER (PARTITION BY b.doc_id ORDER BY b.i) AS stop
+      FROM b LEFT JOIN d ON b.doc_id = d.doc_id AND b.i = d.i),
+y AS (SELECT doc_id, a0, string_agg((a0 + a) || ':' || (a0 + z), ',' ORDER BY a) AS removed FROM (
+        SELECT doc_id, part, min(stop - length(raw))::BIGINT AS a, max(stop)::BIGINT AS z FROM (
+          SELECT *, i - row_number() OVER (PARTITION BY doc_id ORDER BY i) AS part FROM f WHERE gone) GROUP BY doc_id, part)
+      JOIN (SELECT doc_id, length(regexp_extract(text, '^[\x20\x09-\x0D]*')) AS a0 FROM t) USING (doc_id) GROUP BY doc_id, a0),
+z AS (SELECT doc_id, count(*) FILTER (cut) AS n_sentences, count(*) FILTER (cut AND gone) AS n_removed,
              coalesce(string_agg(raw, '' ORDER BY i) FILTER (NOT gone), '') AS kept FROM f GROUP BY doc_id)
-SELECT d.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
-       sha256(coalesce(kept, '')) AS kept_sha256
-FROM documents d LEFT JOIN z USING (doc_id) LEFT JOIN y USING (doc_id)
+SELECT t.doc_id, coalesce(n_sentences, 0) AS n_sentences, coalesce(n_removed, 0) AS n_removed, coalesce(removed, '') AS removed,
+       sha256(regexp_extract(t.text, '^[\x20\x09-\x0D]*') || coalesce(kept, '')) AS kept_sha256
+FROM t LEFT JOIN z USING (doc_id) LEFT JOIN y USING (doc_id)
 """

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from tokenizers import Tokenizer
 
-from siltstone.llm import bpe, decontaminate, exact, packing, sentences, sharding, token_files, toxicity
+from siltstone.llm import bpe, decontaminate, exact, packing, sharding, token_files, toxicity
 from siltstone.llm.elias_fano import EliasFano, encode
 from siltstone.llm.scratch import fresh_path
 
@@ -83,44 +83,6 @@ def test_exact_white_space_variants_under_one_id(spark):
     assert kept == Counter({(None, "a b"): 1, (None, "c"): 1, (5, "d  e"): 1, (7, "h i"): 2, (8, ""): 1, (8, None): 1}) and sorted(tabs) == [0, 1]
 
 
-def test_sentences(spark):
-    shared = "One is here. Two is there. Three is gone. "
-    rows = [(1, shared + "Own end."), (2, "Begin. " + shared + "More."), (3, None), (4, "Short."), (5, "A. B. C. A. B. C. ")]
-    frame = spark.createDataFrame(rows, "doc_id long, text string")
-    got = {r.doc_id: r for r in sentences.remove_repeats(frame).collect()}
-    assert got[1].text == rows[0][1] and "Two is there" not in got[2].text and got[2].text.startswith("Begin.")
-    assert got[2].n_removed == 3 and got[3].text is None and got[4].n_removed == 0 and got[5].n_removed == 3
-    assert sentences.remove_repeats(frame.filter("false")).count() == 0
-
-
-def test_long_passages_without_whole_sentences(spark):
-    """Every word of a window of 51 words that also starts earlier goes, and no other."""
-    r = random.Random(11)
-
-    def prose(n, marks=0.0):
-        return " ".join("".join(r.choice("abcdefgh") for _ in range(6)) + ("." if r.random() < marks else "") for _ in range(n))
-
-    plain, marked, short = prose(51), prose(60, 0.03), prose(50)
-    texts = [f"{prose(9)} {p} {prose(9)}" for p in (plain, marked, short) for _ in range(3)]
-    texts += [plain.replace(" ", "\n ", 3), prose(140), None, "", "x " * 200, prose(30) + " é " + marked + "\n", " ".join([prose(70)] * 2)]
-    rows = [(i, t) for i, t in enumerate(texts)] + [(len(texts), texts[0]), (None, texts[10]), (3, prose(80)), (3, plain)]
-    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
-    own = {(x[0], x[1]): x[2] for x in frame.selectExpr("doc_id", "text", "xxhash64(text)").collect()}
-    order = sorted(set(rows), key=lambda d: (d[0] is not None, d[0] or 0, own[d]))
-    seen, want = set(), Counter()
-    for d in order:
-        words, gone = (d[1] or "").split(), set()
-        for s in range(len(words) - 50):
-            w = tuple(words[s : s + 51])
-            gone |= set(range(s, s + 51)) if w in seen else set()
-            seen.add(w)
-        want[(d[0], tuple(w for i, w in enumerate(words) if i not in gone))] += 1
-    got = sentences.remove_repeats(frame).collect()
-    assert Counter((x.doc_id, tuple((x.text or "").split())) for x in got) == want
-    assert {x.n_removed > 0 for x in got if x.doc_id in (1, 2, 4, 5)} == {True}
-    assert {x.n_removed for x in got if x.doc_id in (6, 7, 8)} == {0}
-
-
 def test_decontamination(spark):
     r = random.Random(3)
     vocabulary = ["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
