@@ -38,6 +38,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .scratch import staged
 
 #: Consecutive words of a sentence of which the least valued begins a piece; the least number of words in a run; and the
@@ -45,9 +46,6 @@ from .scratch import staged
 CUT, RUN, GRAM = 5, 34, 16
 #: Characters of text that are laid out at a time.
 GROUP_CHARS = 1_000_000
-#: Bits of the bitmap of anchors in several places: 16 MB wherever it is sent, whatever the input.
-BITMAP_BITS = 1 << 27
-SEGMENT_BITS = 1 << 16
 #: The places of a copied text stand as all of its runs.
 _ALL = -1
 _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5)]
@@ -229,39 +227,16 @@ def _marks(texts: DataFrame, cut: int, run: int) -> DataFrame:
     return texts.select("own", "text").mapInArrow(found, "h long, own long")
 
 
-def _bitmap(hashes: DataFrame) -> np.ndarray:
-    """The bits of the hashes (h), built where they are; what reaches the driver has BITMAP_BITS bits."""
-    slot = F.col("h").bitwiseAND(F.lit(BITMAP_BITS - 1))
-    segments = hashes.select(F.shiftright(slot, 16).alias("segment"), slot.bitwiseAND(F.lit(SEGMENT_BITS - 1)).alias("bit"))
-    words = segments.groupBy("segment", F.shiftright("bit", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("mask"))
-    held = words.groupBy("segment").agg(F.collect_list(F.struct("word", "mask")).alias("words"))
-
-    def packed(batches):
-        for batch in batches:
-            rows = []
-            for words in batch.column(1):
-                own = np.zeros(SEGMENT_BITS // 64, np.int64)
-                own[words.values.field(0).to_numpy(zero_copy_only=False)] = words.values.field(1).to_numpy(zero_copy_only=False)
-                rows.append(own.tobytes())
-            yield _frame(("segment", "bits"), batch.column(0), pa.array(rows, pa.binary()))
-
-    out = np.zeros((BITMAP_BITS // SEGMENT_BITS, SEGMENT_BITS // 64), np.uint64)
-    for row in held.mapInArrow(packed, "segment long, bits binary").collect():  # bounded: a row for each segment
-        out[row["segment"]] = np.frombuffer(row["bits"], np.uint64)
-    return out.ravel()
-
-
 def _runs(texts: DataFrame, bits: np.ndarray, cut: int, run: int) -> DataFrame:
     """doc_id, own, pos (word) and hash (h, g) of the runs whose anchor may be in several places."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)  # BITMAP_BITS bits
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # bitmaps.BITS bits
 
     def found(batches):
         known = shared.value
         for batch in batches:
             for low, texts in _groups(batch.column(2)):
                 lay = laid_out(texts, cut, run)
-                slot = lay.anchors(run)[0] & np.uint64(BITMAP_BITS - 1)
-                keep = np.flatnonzero((known[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1))
+                keep = bitmaps.hits(known, lay.anchors(run)[0])
                 if len(keep):
                     text = lay.text_of(lay.runs[keep])
                     rows = pa.array(text + low)
@@ -278,7 +253,7 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", cu
     """
     texts = _chosen(docs, id_col, text_col)
     shared = _marks(texts, cut, run).groupBy("h").agg(F.min("own").alias("low"), F.max("own").alias("high")).filter("low <> high").select("h")
-    found = staged(_runs(texts, _bitmap(shared), cut, run), "sentence-runs")
+    found = staged(_runs(texts, bitmaps.built(shared, "h"), cut, run), "sentence-runs")
     place = F.struct("doc_id", "own", "pos")
     firsts = found.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last"))
     # written, so that both sides of the join are dealt anew and a hot run can be split

@@ -3,9 +3,11 @@
 Every byte that lies in a string of WIDTH bytes which also starts earlier goes. Strings are dealt to shards so that
 equal ones meet: a string's anchor is the least hash among its runs of GRAM bytes, so equal strings have equal anchors.
 Consecutive strings of a document with one anchor form a segment of at most 2 * WIDTH - GRAM bytes. Anchors found in a
-single place are dropped before any text is moved, unless a string holds its anchor twice, as in a stretch that repeats
-a byte or a short pattern: then equal strings may lie in that one segment. Of equal segments only the earliest goes on, the others are covered
-whole; what then remains under one anchor is sorted, shard by shard, by induced sorting (see induced.py), and strings
+single place go no further, unless a string holds its anchor twice, as in a stretch that repeats a byte or a short pattern:
+then equal strings may lie in that one segment. The others go into a bitmap of fixed size, so the second scan cuts
+segments where the texts are and moves only those whose anchor may be elsewhere too; a false hit costs a row and
+changes no result. Of equal segments only the earliest goes on, the others are covered whole; what then remains under
+one anchor is sorted, shard by shard, by induced sorting (see induced.py), and strings
 whose neighbours in that order have a common prefix of WIDTH bytes are repeated.
 
 Copies of a whole text never go past the first step. Anchors with more than CROWD different segments, as under a very
@@ -30,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import bitmaps
 from .induced import sorted_suffixes
 from .scratch import staged
 
@@ -134,17 +137,18 @@ def _frame(names, *arrays) -> pa.RecordBatch:
 SEGMENT = "doc_id long, th long, start long, strings int, a long, h long, g long, inner boolean, bytes binary"
 
 
-def _segment_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
-    """The segments under the anchors listed for each text."""
+def _segment_rows(texts: DataFrame, bits: np.ndarray, width: int, gram: int) -> DataFrame:
+    """The segments of each text whose anchor may be in several places."""
+    shared = texts.sparkSession.sparkContext.broadcast(bits)  # bitmaps.BITS bits
     names = ("doc_id", "th", "start", "strings", "a", "h", "g", "inner", "bytes")
 
     def run(batches):
         import xxhash
 
         for batch in batches:
-            for doc_id, th, data, listed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _views(batch.column(2)), batch.column(3), strict=True):
+            for doc_id, th, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _views(batch.column(2)), strict=True):
                 anchors, starts, many, inner = document_segments(data, width, gram)
-                chosen = np.flatnonzero(np.isin(anchors, listed.values.to_numpy(zero_copy_only=False)))
+                chosen = bitmaps.hits(shared.value, anchors.view(np.uint64), 7)
                 for at in range(0, len(chosen), 50_000):
                     part = chosen[at : at + 50_000]
                     own = [data[s : s + n + width - 1].tobytes() for s, n in zip(starts[part].tolist(), many[part].tolist(), strict=True)]
@@ -162,7 +166,7 @@ def _segment_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
                         pa.array(own, pa.binary()),
                     )
 
-    return texts.select("doc_id", "th", "text", "anchors").mapInArrow(run, SEGMENT)
+    return texts.filter(F.octet_length("text") >= width).select("doc_id", "th", "text").mapInArrow(run, SEGMENT)
 
 
 class _Shard:
@@ -298,35 +302,35 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     spark = docs.sparkSession
     anchors = _anchor_rows(texts, width, gram)
     shared = anchors.groupBy("a").agg(F.min("th").alias("low"), F.max("th").alias("high")).filter("low <> high").select("a")
-    shared = staged(shared, "suffix-anchors")
-    listed = anchors.join(shared, "a").groupBy("th").agg(F.collect_set("a").alias("anchors"))
     whole = staged(texts.select("doc_id", "th", "sha"), "suffix-texts")
-    groups = staged(whole.groupBy("th", "sha").agg(F.min("doc_id").alias("keep"), F.max("doc_id").alias("most"), F.count(F.lit(1)).alias("n")), "suffix-groups")
-    plan = staged(groups.select("th", "keep").join(listed, "th"), "suffix-plan")
-    # the id is part of the key, so the copies of one text are spread and meet nothing
-    keyed = texts.select(F.col("doc_id").alias("id"), F.col("th").alias("own"), "text")
-    own = keyed.join(plan, (F.col("own") == F.col("th")) & F.col("id").eqNullSafe(F.col("keep"))).select(F.col("id").alias("doc_id"), "th", "text", "anchors")
-    found = staged(_segment_rows(own, width, gram), "suffix-segments")
+    groups = whole.groupBy("th", "sha").agg(F.min(F.struct("doc_id")).alias("least"), F.max(F.struct("doc_id")).alias("most"))
+    groups = groups.filter(~F.col("least").eqNullSafe(F.col("most"))).select("th", "sha", F.col("least.doc_id").alias("keep"))
+    groups = staged(groups, "suffix-copied")
+    found = staged(_segment_rows(texts, bitmaps.built(shared, "a", 7), width, gram), "suffix-segments")
     place = F.struct("doc_id", "th", "start")
     firsts = found.groupBy("h", "g").agg(F.min("a").alias("a"), F.min(place).alias("first"), F.max(place).alias("last"), F.max("inner").alias("inner"))
     firsts = staged(firsts, "suffix-firsts")
-    several = firsts.filter(~F.col("first").eqNullSafe(F.col("last"))).select("h", "g", "first")
-    covered = found.join(several, ["h", "g"]).filter(~place.eqNullSafe(F.col("first")))
-    covered = covered.select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("strings")).alias("e"))
     crowds = staged(firsts.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.max("inner").alias("inner")).filter("n > 1 or inner").select("a", "n"), "suffix-crowds")
-    wanted = firsts.join(crowds, "a").select(F.col("first.doc_id").alias("id"), F.col("first.th").alias("own"), F.col("first.start").alias("at"), "n")
-    met = found.join(wanted, F.col("doc_id").eqNullSafe(F.col("id")) & (F.col("th") == F.col("own")) & (F.col("start") == F.col("at")))
-    met = staged(met.select("doc_id", "th", "start", "bytes", "a", "n"), "suffix-met")
+    # one join tells what is covered whole from what is to be sorted; only the latter keeps its bytes
+    several = ~F.col("first").eqNullSafe(F.col("last"))
+    wanted = firsts.join(crowds, "a", "left").filter(several | F.col("n").isNotNull()).select("h", "g", "first", "n")
+    here = place.eqNullSafe(F.col("first"))
+    joined = found.join(wanted, ["h", "g"]).withColumn("here", here).filter(~F.col("here") | F.col("n").isNotNull())
+    joined = joined.select("doc_id", "th", "start", "strings", "a", "here", "n", F.when(F.col("here"), F.col("bytes")).alias("bytes"))
+    joined = staged(joined, "suffix-met")
+    covered = joined.filter("not here").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("strings")).alias("e"))
+    met = joined.filter("here").select("doc_id", "th", "start", "bytes", "a", "n")
     few = met.filter(F.col("n") <= crowd)
     size = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
     ranged = _sorted_shards(few.repartition(max(1, size // SHARD_BYTES, spark.sparkContext.defaultParallelism), "a"), width)
     crowded = _hashed_strings(met.filter(F.col("n") > crowd), width)
     lost = covered.unionByName(ranged).unionByName(crowded)
-    lost = lost.groupBy("doc_id", "th").agg(F.collect_list(F.struct("s", "e")).alias("strings")).withColumn("copy", F.lit(False))
-    many = groups.filter(~F.col("keep").eqNullSafe(F.col("most"))).select(F.col("th").alias("own"), F.col("sha").alias("same"), "keep")
-    copies = whole.join(many, (F.col("th") == F.col("own")) & (F.col("sha") == F.col("same")) & ~F.col("doc_id").eqNullSafe(F.col("keep")))
-    copies = copies.select("doc_id", "th").distinct().select("doc_id", "th", F.lit(None).cast(lost.schema["strings"].dataType).alias("strings"), F.lit(True).alias("copy"))
-    return staged(lost.unionByName(copies), "suffix-lost")
+    copies = whole.join(groups, ["th", "sha"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "th")
+    nowhere = F.lit(None).cast("long")
+    lost = lost.withColumn("copy", F.lit(False)).unionByName(copies.select("doc_id", "th", nowhere.alias("s"), nowhere.alias("e"), F.lit(True).alias("copy")))
+    # what copies lose is known without their strings
+    strings = F.collect_list(F.when(F.col("s").isNotNull(), F.struct("s", "e"))).alias("strings")
+    return staged(lost.groupBy("doc_id", "th").agg(strings, F.max("copy").alias("copy")), "suffix-lost")
 
 
 def removed_bytes(n: int, strings, copy: bool, width: int = WIDTH) -> list[tuple[int, int]]:

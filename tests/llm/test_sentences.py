@@ -4,6 +4,7 @@ import random
 import re
 from collections import Counter
 
+from siltstone.llm import bitmaps
 from siltstone.llm import sentences as S
 
 
@@ -84,5 +85,5 @@ def test_bitmap_misses_nothing(spark, monkeypatch):
     passage = prose(r, 80)
     frame = spark.createDataFrame([(i, f"{prose(r, 40)} {passage} {prose(r, 40)}") for i in range(6)], "doc_id long, text string")
     want = sorted(S.remove_repeats(frame).collect())
-    monkeypatch.setattr(S, "BITMAP_BITS", S.SEGMENT_BITS)
+    monkeypatch.setattr(bitmaps, "BITS", bitmaps.SEGMENT)
     assert sorted(S.remove_repeats(frame).collect()) == want
