@@ -39,6 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
+from .hashing import Powers, mixed
 from .scratch import staged
 
 #: Consecutive words of a sentence of which the least valued begins a piece; the least number of words in a run; and the
@@ -54,36 +55,14 @@ VALUE_FIRST, VALUE_SECOND, VALUE_LAST, VALUE_BEFORE_LAST, VALUE_LENGTH = 131071,
 VALUE_FACTOR, VALUE_PRIME = 48271, 2147483647
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * _MIX[1]
-    x = (x ^ (x >> np.uint64(27))) * _MIX[2]
-    return x ^ (x >> np.uint64(31))
-
-
-class _Powers:
-    """The powers of an odd number and of its inverse, modulo 2**64."""
-
-    def __init__(self, base: int):
-        self._bases = [np.uint64(base), np.uint64(pow(base, -1, 1 << 64))]
-        self._held = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-    def __call__(self, n: int) -> list[np.ndarray]:
-        if len(self._held[0]) < n:
-            for k, base in enumerate(self._bases):
-                steps = np.full(2 * n, base, np.uint64)
-                steps[0] = 1
-                self._held[k] = np.cumprod(steps, dtype=np.uint64)
-        return [h[:n] for h in self._held]
-
-
-_powers = [_Powers(int(m)) for m in _MIX[:2]]
+_powers = [Powers(int(m)) for m in _MIX[:2]]
 _coefficients = np.zeros(0, np.uint64)
 
 
 def _letters(n: int) -> np.ndarray:
     global _coefficients
     if len(_coefficients) < n:
-        _coefficients = _mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * _MIX[0]) | np.uint64(1)
+        _coefficients = mixed(np.arange(1, 2 * n + 1, dtype=np.uint64) * _MIX[0]) | np.uint64(1)
     return _coefficients
 
 
@@ -117,7 +96,7 @@ class Layout:
         for powers in _powers:
             up, down = powers(len(self.own))
             sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.own * up, dtype=np.uint64)])
-            halves.append(_mixed((sums[stops] - sums[runs]) * down[runs] ^ (stops - runs).astype(np.uint64)).view(np.int64))
+            halves.append(mixed((sums[stops] - sums[runs]) * down[runs] ^ (stops - runs).astype(np.uint64)).view(np.int64))
         return halves
 
     def anchors(self, run: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -128,7 +107,7 @@ class Layout:
         grams, span = self.own, 1
         while span < gram:
             step = min(span, gram - span)
-            grams = _mixed(grams[:-step] * _MIX[0] + grams[step:] * _MIX[3])
+            grams = mixed(grams[:-step] * _MIX[0] + grams[step:] * _MIX[3])
             span += step
         many = run - gram + 1
         least = _windowed(grams, many, np.minimum)
@@ -158,7 +137,7 @@ def laid_out(texts: list[str], cut: int = CUT, run: int = RUN) -> Layout:
     at = np.flatnonzero(~space)
     offset = at - np.repeat(starts, lengths)
     own = np.add.reduceat((chars[at].astype(np.uint64) + np.uint64(1)) * _letters(int(lengths.max()))[offset], np.cumsum(lengths) - lengths)
-    own = _mixed(own ^ lengths.astype(np.uint64) * _MIX[3])
+    own = mixed(own ^ lengths.astype(np.uint64) * _MIX[3])
     ascending = [chars[i].astype(np.int64) for i in (starts, np.minimum(starts + 1, ends - 1), ends - 1, np.maximum(ends - 2, starts))]
     value = sum(c * k for c, k in zip(ascending, (VALUE_FIRST, VALUE_SECOND, VALUE_LAST, VALUE_BEFORE_LAST), strict=True))
     value = (value + lengths * VALUE_LENGTH) * VALUE_FACTOR % VALUE_PRIME

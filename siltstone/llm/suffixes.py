@@ -26,6 +26,7 @@ import hashlib
 import os
 import shutil
 import tempfile
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import bitmaps
+from .hashing import Powers, mixed
 from .induced import sorted_suffixes
 from .scratch import staged
 
@@ -41,12 +43,16 @@ GRAM = 32
 #: Different segments under one anchor up to which they are sorted in one shard.
 CROWD = 4096
 #: Bytes of segments in a shard, about.
-SHARD_BYTES = 8_000_000
+SHARD_BYTES = 4_000_000
 #: Bytes of text whose anchors are found at a time.
-PIECE = 2_000_000
+PIECE = 500_000
+#: Stretches around an anchor by which segments without a partner are known.
+PARTS = 4
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _SPREAD = np.uint64(0xC2B2AE3D27D4EB4F)
 _LOW = np.uint64(127)
+_POWERS = [Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)]
+_BYTES = mixed(np.arange(1, 257, dtype=np.uint64) * _MIX)
 
 
 def _gram_hashes(data: np.ndarray, gram: int) -> np.ndarray:
@@ -72,35 +78,92 @@ def _least(values: np.ndarray, many: int) -> np.ndarray:
     return values
 
 
-def segments(data: np.ndarray, offset: int = 0, width: int = WIDTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
-    """(anchor, first string, strings, inner) of each segment of a text, whose first byte lies at `offset` of its document.
+class Cuts(NamedTuple):
+    """Segments of parts that stand one after another: anchor, first string, strings, whether some string holds the anchor
+    more than once (so equal strings may lie in that one segment), where the anchor begins, and the part."""
 
-    inner: some string of the segment holds its anchor more than once, so equal strings may lie in this one segment.
-    """
+    anchors: np.ndarray
+    starts: np.ndarray
+    many: np.ndarray
+    inner: np.ndarray
+    at: np.ndarray
+    part: np.ndarray
+
+
+def segments(data: np.ndarray, begins: np.ndarray, width: int = WIDTH, gram: int = GRAM) -> Cuts:
+    """The segments of parts of data; part i lies from begins[i] to begins[i + 1], and no string crosses parts."""
     strings = len(data) - width + 1
     if strings < 1:
-        return *(np.zeros(0, np.int64),) * 3, np.zeros(0, bool)
+        return Cuts(*(np.zeros(0, np.int64),) * 3, np.zeros(0, bool), *(np.zeros(0, np.int64),) * 2)
     hashes = _gram_hashes(data, gram)
     # the position makes segments end where the anchor's place changes; it takes no part in the anchor
-    hashes = (hashes & ~_LOW) | ((np.arange(len(hashes), dtype=np.uint64) + np.uint64(offset)) & _LOW)
+    hashes = (hashes & ~_LOW) | (np.arange(len(hashes), dtype=np.uint64) & _LOW)
     least = _least(hashes, width - gram + 1)
-    starts = np.concatenate([[0], np.flatnonzero(least[1:] != least[:-1]) + 1])
     # with the positions in reverse order the least lies elsewhere only where the hash is there again
     tied = ((least ^ _least(hashes ^ _LOW, width - gram + 1)) & _LOW) != _LOW
-    many = np.diff(np.concatenate([starts, [strings]]))
-    return (least[starts] & ~_LOW).view(np.int64), starts + offset, many, np.logical_or.reduceat(tied, starts)
-
-
-def document_segments(data: np.ndarray, width: int = WIDTH, gram: int = GRAM):
-    """segments() of a whole text in pieces of bounded size."""
-    found = [segments(data[at : at + PIECE + width - 1], at, width, gram) for at in range(0, max(1, len(data) - width + 1), PIECE)]
-    return tuple(np.concatenate(part) for part in zip(*found, strict=True))
+    edge = np.ones(strings, dtype=bool)
+    edge[1:] = least[1:] != least[:-1]
+    beyond = np.maximum(begins[1:] - width + 1, begins[:-1])  # the first start in a part that is too near its end
+    for marks in (begins[:-1], beyond):
+        edge[marks[marks < strings]] = True
+    starts = np.flatnonzero(edge)
+    many = np.diff(np.append(starts, strings))
+    inner = np.logical_or.reduceat(tied, starts)
+    part = np.searchsorted(begins, starts, side="right") - 1
+    keep = np.flatnonzero(starts < beyond[part])
+    starts = starts[keep]
+    at = starts + (((least[starts] & _LOW).astype(np.int64) - starts) & 127)
+    return Cuts((least[starts] & ~_LOW).view(np.int64), starts, many[keep], inner[keep], at, part[keep])
+
+
+def _parts(column: pa.Array, width: int):
+    """(rows, offsets in the text, bytes, begins) of texts side by side, about PIECE bytes at a time; a text longer than
+    that comes in parts, which overlap by less than a string."""
+    rows, offsets, held, size = [], [], [], 0
+    for row, value in enumerate(column):
+        data = np.frombuffer(value.as_buffer(), np.uint8)
+        for at in range(0, max(1, len(data) - width + 1), PIECE):
+            part = data[at : at + PIECE + width - 1]
+            rows.append(row)
+            offsets.append(at)
+            held.append(part)
+            size += len(part)
+            if size >= PIECE:
+                yield _side_by_side(rows, offsets, held)
+                rows, offsets, held, size = [], [], [], 0
+    if held:
+        yield _side_by_side(rows, offsets, held)
+
+
+def _side_by_side(rows, offsets, held):
+    return np.array(rows), np.array(offsets, dtype=np.int64), np.concatenate(held), np.cumsum([0, *map(len, held)])
+
+
+def _polynomials(data: np.ndarray):
+    """A function of (starts, stops) that gives two 64-bit hashes of each of these stretches of data."""
+    values, sums = _BYTES[data], []
+    for powers in _POWERS:
+        up, down = powers(len(data))
+        sums.append((np.concatenate([np.zeros(1, np.uint64), np.cumsum(values * up, dtype=np.uint64)]), down))
+
+    def of(starts: np.ndarray, stops: np.ndarray) -> list[np.ndarray]:
+        return [mixed((total[stops] - total[starts]) * down[starts] ^ (stops - starts).astype(np.uint64)) for total, down in sums]
+
+    return of
 
 
 def _views(column) -> list[np.ndarray]:
     return [np.frombuffer(v.as_buffer(), np.uint8) for v in column]
 
 
+def _cut_out(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> pa.Array:
+    """Stretches of data as a binary column."""
+    ends = np.cumsum(lengths)
+    index = np.repeat(starts - ends + lengths, lengths) + np.arange(ends[-1] if len(ends) else 0)
+    edges = np.concatenate([[0], ends]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(edges), pa.py_buffer(data[index])])
+
+
 def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col), F.lit(""))
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), F.sha2(text, 256).alias("sha"), text.cast("binary").alias("text"))
@@ -111,21 +174,20 @@ def _anchor_rows(texts: DataFrame, width: int, gram: int) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            anchors, marks, held = [], [], 0
-            for th, data in zip(batch.column(0).to_pylist(), _views(batch.column(1)), strict=True):
-                found, _, _, inner = document_segments(data, width, gram)
-                own, counts = np.unique(np.concatenate([found, found[inner]]), return_counts=True)
-                own = np.concatenate([own, own[counts > 1]])
-                anchors.append(own)
-                mark = np.full(len(own), th, dtype=np.int64)
-                mark[len(counts) :] = ~th
-                marks.append(mark)
-                held += len(own)
-                if held > 200_000:
-                    yield _frame(("a", "th"), np.concatenate(anchors), np.concatenate(marks))
-                    anchors, marks, held = [], [], 0
-            if held:
-                yield _frame(("a", "th"), np.concatenate(anchors), np.concatenate(marks))
+            ths = batch.column(0).to_numpy(zero_copy_only=False)
+            for rows, _, data, begins in _parts(batch.column(1), width):
+                cut = segments(data, begins, width, gram)
+                text = rows[cut.part]
+                # an anchor whose place is the same goes on from one segment to the next only where its part ends
+                a, own, text = (np.concatenate([x, x[cut.inner]]) for x in (cut.anchors, ths[text], text))
+                order = np.lexsort((text, own, a))
+                a, own, text = a[order], own[order], text[order]
+                again = np.zeros(len(a), dtype=bool)
+                again[1:] = (a[1:] == a[:-1]) & (own[1:] == own[:-1])
+                # a copy of a text says nothing new, a repeat inside one text does
+                twice = again.copy()
+                twice[1:] &= text[1:] == text[:-1]
+                yield _frame(("a", "th"), np.concatenate([a[~again], a[twice]]), np.concatenate([own[~again], ~own[twice]]))
 
     return texts.filter(F.octet_length("text") >= width).select("th", "text").mapInArrow(run, "a long, th long")
 
@@ -134,37 +196,37 @@ def _frame(names, *arrays) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([a if isinstance(a, pa.Array) else pa.array(a) for a in arrays], names=list(names))
 
 
-SEGMENT = "doc_id long, th long, start long, strings int, a long, h long, g long, inner boolean, bytes binary"
+SEGMENT = "doc_id long, th long, start long, strings int, a long, h long, g long, inner boolean, at int, bytes binary"
 
 
 def _segment_rows(texts: DataFrame, bits: np.ndarray, width: int, gram: int) -> DataFrame:
     """The segments of each text whose anchor may be in several places."""
     shared = texts.sparkSession.sparkContext.broadcast(bits)  # bitmaps.BITS bits
-    names = ("doc_id", "th", "start", "strings", "a", "h", "g", "inner", "bytes")
+    names = ("doc_id", "th", "start", "strings", "a", "h", "g", "inner", "at", "bytes")
 
     def run(batches):
-        import xxhash
-
         for batch in batches:
-            for doc_id, th, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _views(batch.column(2)), strict=True):
-                anchors, starts, many, inner = document_segments(data, width, gram)
-                chosen = bitmaps.hits(shared.value, anchors.view(np.uint64), 7)
-                for at in range(0, len(chosen), 50_000):
-                    part = chosen[at : at + 50_000]
-                    own = [data[s : s + n + width - 1].tobytes() for s, n in zip(starts[part].tolist(), many[part].tolist(), strict=True)]
-                    keys = np.frombuffer(b"".join(xxhash.xxh3_128_digest(b) for b in own), "<i8").reshape(-1, 2)
-                    yield _frame(
-                        names,
-                        pa.array([doc_id] * len(part), pa.int64()),
-                        np.full(len(part), th, np.int64),
-                        starts[part],
-                        many[part].astype(np.int32),
-                        anchors[part],
-                        keys[:, 0].copy(),
-                        keys[:, 1].copy(),
-                        inner[part],
-                        pa.array(own, pa.binary()),
-                    )
+            for rows, offsets, data, begins in _parts(batch.column(2), width):
+                cut = segments(data, begins, width, gram)
+                chosen = bitmaps.hits(shared.value, cut.anchors.view(np.uint64), 7)
+                if not len(chosen):
+                    continue
+                anchors, starts, many, inner, at, part = (x[chosen] for x in cut)
+                h, g = (x.view(np.int64) for x in _polynomials(data)(starts, starts + many + width - 1))
+                row = pa.array(rows[part])
+                yield _frame(
+                    names,
+                    batch.column(0).take(row),
+                    batch.column(1).take(row),
+                    starts - begins[part] + offsets[part],
+                    many.astype(np.int32),
+                    anchors,
+                    h,
+                    g,
+                    inner,
+                    (at - starts).astype(np.int32),
+                    _cut_out(data, starts, many + width - 1),
+                )
 
     return texts.filter(F.octet_length("text") >= width).select("doc_id", "th", "text").mapInArrow(run, SEGMENT)
 
@@ -172,30 +234,58 @@ def _segment_rows(texts: DataFrame, bits: np.ndarray, width: int, gram: int) ->
 class _Shard:
     """Segments one after another on disk, each ended by a separator, as the text of one suffix array."""
 
-    def __init__(self, folder: str, width: int):
-        self.width, self.folder = width, folder
+    def __init__(self, folder: str, width: int, gram: int):
+        self.width, self.gram, self.folder = width, gram, folder
         self.path = os.path.join(folder, "text")
-        self.docs, self.nulls, self.marks, self.starts, self.lengths = [], [], [], [], []
 
     def fill(self, batches) -> None:
+        held = [[] for _ in range(7)]
+        for batch in batches:
+            ids, views = batch.column(0), _views(batch.column(3))
+            own = (ids.is_null(), ids.fill_null(0), batch.column(1), batch.column(2), batch.column(4), batch.column(5))
+            for k, column in enumerate(own):
+                held[k].append(column.to_numpy(zero_copy_only=False))
+            held[6] += views
+        lengths = np.array([len(v) for v in held[6]], dtype=np.int64)
+        self.nulls, self.docs, self.marks, self.starts, inner, at = (np.concatenate(h) if h else np.zeros(0, np.int64) for h in held[:6])
+        keep = self._partners(held[6], lengths, at, inner.astype(bool)) if len(lengths) else np.zeros(0, np.int64)
+        for name in ("nulls", "docs", "marks", "starts"):
+            setattr(self, name, getattr(self, name)[keep])
+        self.lengths = lengths[keep]
         with open(self.path, "wb") as out:
-            for batch in batches:
-                ids = batch.column(0)
-                self.nulls.append(ids.is_null().to_numpy(zero_copy_only=False))
-                self.docs.append(ids.fill_null(0).to_numpy(zero_copy_only=False))
-                self.marks.append(batch.column(1).to_numpy(zero_copy_only=False))
-                self.starts.append(batch.column(2).to_numpy(zero_copy_only=False))
-                views = _views(batch.column(3))
-                self.lengths.append(np.array([len(v) for v in views], dtype=np.int64))
-                for v in views:
-                    (v.astype(np.uint16) + np.uint16(2)).tofile(out)
-                    out.write(b"\x01\x00")
+            for i in keep.tolist():
+                (held[6][i].astype(np.uint16) + np.uint16(2)).tofile(out)
+                out.write(b"\x01\x00")
             out.write(b"\x00\x00")
-        for name in ("docs", "nulls", "marks", "starts", "lengths"):
-            parts = getattr(self, name)
-            setattr(self, name, np.concatenate(parts) if parts else np.zeros(0, np.int64))
         self.bases = np.concatenate([[0], np.cumsum(self.lengths + 1), [np.iinfo(np.int64).max]])
 
+    def _partners(self, views: list[np.ndarray], lengths: np.ndarray, at: np.ndarray, inner: np.ndarray) -> np.ndarray:
+        """The segments that may hold a string of another one.
+
+        A string has from 0 to width - gram bytes before its anchor. Cut into PARTS ranges, each range has a stretch around
+        the anchor that all of its strings hold, of equal strings the same one, little shorter than a string.
+        """
+        free = self.width - self.gram
+        step = -(-(free + 1) // PARTS)
+        found = [[] for _ in range(PARTS)]
+        edges = np.flatnonzero(np.diff(np.cumsum(lengths) // PIECE)) + 1
+        for some in np.split(np.arange(len(lengths)), edges):
+            ends = np.cumsum(lengths[some])
+            base = ends - lengths[some]
+            hashes = _polynomials(np.concatenate([views[i] for i in some.tolist()]))
+            for k in range(PARTS):
+                before = min(k * step, free)
+                after = max(0, free - before - step + 1)
+                low, high = base + at[some] - before, base + at[some] + self.gram + after
+                inside = np.flatnonzero((low >= base) & (high <= ends))
+                found[k].append((some[inside], hashes(low[inside], high[inside])[0]))
+        stays = inner.copy()
+        for parts in found:
+            who, keys = (np.concatenate(x) for x in zip(*parts, strict=True))
+            _, which, counts = np.unique(keys, return_inverse=True, return_counts=True)
+            stays[who] |= counts[which] > 1
+        return np.flatnonzero(stays)
+
     def repeated(self):
         """(segment, first string, after the last string) of the runs of strings that also start earlier."""
         text = np.memmap(self.path, np.uint16, "r")
@@ -246,11 +336,11 @@ class _Shard:
 INTERVAL = "doc_id long, th long, s long, e long"
 
 
-def _sorted_shards(rows: DataFrame, width: int) -> DataFrame:
+def _sorted_shards(rows: DataFrame, width: int, gram: int) -> DataFrame:
     def run(batches):
         folder = tempfile.mkdtemp()
         try:
-            shard = _Shard(folder, width)
+            shard = _Shard(folder, width, gram)
             shard.fill(batches)
             if len(shard.lengths):
                 segment, s, e = shard.repeated()
@@ -259,7 +349,7 @@ def _sorted_shards(rows: DataFrame, width: int) -> DataFrame:
         finally:
             shutil.rmtree(folder, ignore_errors=True)
 
-    return rows.select("doc_id", "th", "start", "bytes").mapInArrow(run, INTERVAL)
+    return rows.select("doc_id", "th", "start", "bytes", "inner", "at").mapInArrow(run, INTERVAL)
 
 
 def _hashed_strings(rows: DataFrame, width: int) -> DataFrame:
@@ -316,13 +406,13 @@ def repeated_strings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     wanted = firsts.join(crowds, "a", "left").filter(several | F.col("n").isNotNull()).select("h", "g", "first", "n")
     here = place.eqNullSafe(F.col("first"))
     joined = found.join(wanted, ["h", "g"]).withColumn("here", here).filter(~F.col("here") | F.col("n").isNotNull())
-    joined = joined.select("doc_id", "th", "start", "strings", "a", "here", "n", F.when(F.col("here"), F.col("bytes")).alias("bytes"))
+    joined = joined.select("doc_id", "th", "start", "strings", "a", "here", "n", "inner", "at", F.when(F.col("here"), F.col("bytes")).alias("bytes"))
     joined = staged(joined, "suffix-met")
     covered = joined.filter("not here").select("doc_id", "th", F.col("start").alias("s"), (F.col("start") + F.col("strings")).alias("e"))
-    met = joined.filter("here").select("doc_id", "th", "start", "bytes", "a", "n")
+    met = joined.filter("here").select("doc_id", "th", "start", "bytes", "a", "n", "inner", "at")
     few = met.filter(F.col("n") <= crowd)
     size = few.agg(F.sum(F.octet_length("bytes"))).first()[0] or 0
-    ranged = _sorted_shards(few.repartition(max(1, size // SHARD_BYTES, spark.sparkContext.defaultParallelism), "a"), width)
+    ranged = _sorted_shards(few.repartition(max(1, size // SHARD_BYTES, spark.sparkContext.defaultParallelism), "a"), width, gram)
     crowded = _hashed_strings(met.filter(F.col("n") > crowd), width)
     lost = covered.unionByName(ranged).unionByName(crowded)
     copies = whole.join(groups, ["th", "sha"]).filter(~F.col("doc_id").eqNullSafe(F.col("keep"))).select("doc_id", "th")

@@ -72,7 +72,7 @@ def test_equal_strings_in_one_segment_are_marked():
     for n in range(101, 169):
         for offset in range(128):
             data = np.frombuffer(r.randbytes(128 + offset) + b"=" * n + r.randbytes(150), np.uint8)
-            _, starts, many, inner = suffixes.segments(data)
+            _, starts, many, inner, _, _ = suffixes.segments(data, np.array([0, len(data)]))
             at = np.repeat(np.arange(len(starts)), many)[128 + offset : 128 + offset + n - 99]
             assert inner[at[:-1][at[:-1] == at[1:]]].all() and (at[0] != at[-1] or inner[at[0]])
 
@@ -105,12 +105,21 @@ def test_edge_rows(spark):
     assert suffixes.remove_repeats(frame.filter("false")).count() == 0
 
 
-def test_pieces_of_a_long_text_agree():
-    data = np.frombuffer(random.Random(1).randbytes(5000) * 2, np.uint8)
-    whole = suffixes.segments(data)
-    before, suffixes.PIECE = suffixes.PIECE, 1500
-    try:
-        parts = suffixes.document_segments(data)
-    finally:
-        suffixes.PIECE = before
-    assert set(parts[0]) == set(whole[0]) and parts[2].sum() == whole[2].sum() == len(data) - 99
+def test_pieces_of_a_long_text_agree(monkeypatch):
+    import pyarrow as pa
+
+    data = random.Random(1).randbytes(5000) * 2
+    column = pa.array([b"short", data, b"", data[:100]], pa.binary())
+
+    def strings():
+        found = []
+        for rows, offsets, side, begins in suffixes._parts(column, 100):
+            cut = suffixes.segments(side, begins)
+            for a, s, n, p in zip(cut.anchors, cut.starts, cut.many, cut.part, strict=True):
+                found += [(rows[p], s - begins[p] + offsets[p] + k, a) for k in range(n)]
+        return sorted(found)
+
+    whole = strings()
+    assert [(r, s) for r, s, _ in whole] == [(1, s) for s in range(9901)] + [(3, 0)]
+    monkeypatch.setattr(suffixes, "PIECE", 1500)
+    assert strings() == whole
