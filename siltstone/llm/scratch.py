@@ -27,7 +27,7 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     """Write a frame once and read it back: cuts the lineage and survives lost executors."""
     spark = frame.sparkSession
     path = fresh_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
 
 
