@@ -440,9 +440,10 @@ def removed_bytes(n: int, strings, copy: bool, width: int = WIDTH) -> list[tuple
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with_bytes: bool = True, **options) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, the kept bytes of every document."""
     width = options.get("width", WIDTH)
-    lost = repeated_strings(docs, id_col, text_col, **options).select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "strings", "copy")
+    lost = repeated_strings(docs, id_col, text_col, **options)
+    bits = docs.sparkSession.sparkContext.broadcast(bitmaps.built(lost, "th"))  # bitmaps.BITS bits
+    lost = lost.select(F.col("doc_id").alias("__id"), F.col("th").alias("__th"), "strings", "copy")
     texts = _texts(docs, id_col, text_col).select("doc_id", "th", "text")
-    joined = texts.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
     names = ("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept")[: 6 if with_bytes else 5]
 
     def run(batches):
@@ -465,8 +466,25 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
                     rows, held = [], 0
             yield _out(names, rows)
 
+    def chosen(batches, hit):
+        for batch in batches:
+            held = np.zeros(batch.num_rows, dtype=bool)
+            held[bitmaps.hits(bits.value, batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64))] = True
+            part = batch.filter(pa.array(held == hit))
+            if part.num_rows:
+                yield part
+
+    def whole(batches):
+        for batch in chosen(batches, False):
+            nothing = [pa.nulls(batch.num_rows, kind) for kind in (pa.list_(pa.int64()), pa.bool_())]
+            yield from run([_frame(("doc_id", "text", "strings", "copy"), batch.column(0), batch.column(2), *nothing)])
+
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    return joined.select("doc_id", "text", "strings", "copy").mapInArrow(run, schema)
+    # texts that lose nothing are known by the bitmap and stay where they are
+    intact = texts.mapInArrow(whole, schema)
+    some = texts.mapInArrow(lambda batches: chosen(batches, True), "doc_id long, th long, text binary")
+    joined = some.join(lost, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), "left")
+    return joined.select("doc_id", "text", "strings", "copy").mapInArrow(run, schema).unionByName(intact)
 
 
 def _out(names, rows) -> pa.RecordBatch:
