@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,9 +29,17 @@ def staged(frame: DataFrame, name: str) -> DataFrame:
     spark = frame.sparkSession
     path = fresh_path(spark, name)
     frame.write.option("compression", "zstd").parquet(path)
+    release(spark)
     return spark.read.schema(frame.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let the shuffle files of finished steps go. Spark deletes them once the driver's collector finds that nothing
+    refers to them any more, which by itself may be half an hour later, with all of them on the executors' disks."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def discard_all(spark: SparkSession) -> None:
     """Delete everything that operators have staged under the shared folder of this session."""
     jvm = spark.sparkContext._jvm
