@@ -17,32 +17,39 @@ from siltstone.llm.scratch import staged
 
 
 def drop_toxic(spark, docs, sf_dir):
+    """Documents that score below 0.5 stay. A null or empty text scores like one without toxic windows; without labels of
+    both classes all stay; repeated rows fare alike."""
     model = toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return docs.filter(toxicity.scored(docs["text"], model) < 0.5)
 
 
 def drop_copies(spark, docs, sf_dir):
+    """Of equal texts the longest, then the one with the smallest id stays; null and empty texts are equal. Rows that
+    repeat both id and text count as one document and stay or go together."""
     return exact.drop_copies(docs)
 
 
 def without(docs, lost):
     """The documents whose id and text are not among the lost (doc_id, own)."""
-    lost = lost.select(F.col("doc_id").alias("__lost"), F.col("own").alias("__own"))
-    same = docs["doc_id"].eqNullSafe(lost["__lost"]) & (simhash.text_mark(docs["text"]) == lost["__own"])
+    docs, lost = docs.alias("docs"), lost.select("doc_id", "own").alias("lost")
+    same = docs["docs.doc_id"].eqNullSafe(lost["lost.doc_id"]) & (simhash.text_mark(docs["docs.text"]) == lost["lost.own"])
     return docs.join(lost, same, "left_anti")
 
 
 def drop_near_copies(spark, docs, sf_dir):
-    """The document with the smallest id of each group stays."""
+    """The document with the smallest id of each group stays, rows that repeat its id and text included. Texts without
+    words are near copies of each other."""
     return without(docs, simhash.near_copies(docs))
 
 
 def drop_contaminated(spark, docs, sf_dir):
+    """Documents that hold a benchmark item go; null and empty texts hold none; an empty benchmark drops nothing."""
     found = decontaminate.marked_matches(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return without(docs, staged(found.select("doc_id", "own").distinct(), "contaminated"))
 
 
 def pack(spark, docs, sf_dir):
+    """A row for each piece of each document; a null or empty text has one piece, the end id."""
     return packing.pack(docs)
 
 
@@ -59,6 +66,7 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
+    """All stages over documents, each on what the one before kept, written and read again. An empty table gives no rows."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), f"pipeline-{name}")

@@ -107,15 +107,12 @@ def _decided(docs: DataFrame, id_col: str, text_col: str, hash_all: bool = False
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input without the copies, columns unchanged. Only ids and hashes of the losers are joined back."""
-    losers = (
-        _decided(docs, id_col, text_col)
-        .filter(~F.col("kept"))
-        .select(F.col("doc_id").alias("__lost"), F.col("text_sha256").alias("__lost_sha"), F.col("own").alias("__lost_own"))
-        .distinct()
-    )
-    # the hash of the text as it is keeps the row that stays from losers with its id
-    same = docs[id_col].eqNullSafe(F.col("__lost")) & (_own(docs[text_col]) == F.col("__lost_own"))
-    return docs.join(losers, same & (F.sha2(without_space(docs[text_col]), 256) == F.col("__lost_sha")), "left_anti")
+    losers = _decided(docs, id_col, text_col).filter(~F.col("kept")).select("doc_id", "text_sha256", "own").distinct()
+    # the hash of the text as it is keeps the row that stays from losers with its id; names are those of one side each
+    losers = losers.alias("losers")
+    kept = docs.alias("docs")
+    same = kept[f"docs.{id_col}"].eqNullSafe(losers["losers.doc_id"]) & (_own(kept[f"docs.{text_col}"]) == losers["losers.own"])
+    return kept.join(losers, same & (F.sha2(without_space(kept[f"docs.{text_col}"]), 256) == losers["losers.text_sha256"]), "left_anti")
 
 
 def op7_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -35,7 +35,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 _LABEL = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_RUN = re.compile(r"[A-Za-z0-9._%+-]*")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
+#: Starts at the first digit of a run only: from a later one it fails alike, and trying each would be quadratic.
+_IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _URL = re.compile(r"[A-Za-z0-9\-._~:/?#\[\]@!$&'()*+,;=%]+")
 _IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
