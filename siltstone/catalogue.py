@@ -466,6 +466,17 @@ def q_fused(spark, sf_dir):
     return _rounded(request.run_all(vectors(spark, sf_dir), asked).rows)
 
 
+@register("q_fused_order", f"""
+WITH p AS (SELECT * FROM {PARTS_SQL}),
+a AS (SELECT id, row_number() OVER (ORDER BY price DESC NULLS LAST, id) AS r FROM p QUALIFY r <= 200),
+b AS (SELECT id, row_number() OVER (ORDER BY size_opt ASC NULLS LAST, id) AS r FROM p WHERE size >= 10 QUALIFY r <= 100)
+SELECT id, round(sum(1.0::DOUBLE / (20.0::DOUBLE + r)), 9) AS score FROM (SELECT * FROM a UNION ALL SELECT * FROM b) GROUP BY id ORDER BY score DESC, id LIMIT 50""")
+def q_fused_order(spark, sf_dir):
+    """Lists ordered by attributes, fused by their order."""
+    lists = [{"rank_by": ["price", "desc"], "top_k": 200}, {"rank_by": ["size_opt", "asc"], "top_k": 100, "filters": ["size", "Gte", 10]}]
+    return _rounded(request.run_all(parts(spark, sf_dir), {"queries": lists, "rerank_by": ["RRF", {"k": 20}], "top_k": 50}).rows)
+
+
 # ---------------------------------------------------------------- mutations
 
 LOG_SQL = """(SELECT user_id AS id, CASE event_type WHEN 'purchase' THEN 'P' WHEN 'error' THEN 'D' ELSE 'U' END AS op,

@@ -130,7 +130,9 @@ class FilterCompiler:
 
     def _any_of(self, column: Column, key: str, kind: str, op: str, raw: Any, element: str) -> Column:
         items = raw if isinstance(raw, (list, tuple)) else [raw]
-        found = [self._coerced(key, x, element) for x in items if x is not None]
+        if any(x is None for x in items):
+            raise Invalid(f"filter on {key!r}: a list of values cannot hold null")
+        found = [self._coerced(key, x, element) for x in items]
         if not found or kind == "sparse":
             return F.lit(False)
         if kind in values.ELEMENT:

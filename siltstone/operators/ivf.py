@@ -21,7 +21,6 @@ from pyspark.sql import types as T
 
 from ..errors import Invalid
 from ..functions import vector
-from ..plans.planner import score_all_candidates
 from ..schema import Schema
 from . import filters, ranking
 
@@ -31,6 +30,8 @@ MOST_CLUSTERS = 16_384
 ITERATIONS = 10
 #: Clusters that a query reads at least, if it names no number.
 DEFAULT_NPROBE = 8
+#: A filtered search goes on to further clusters until those read hold so many matching rows for each row wanted.
+MATCHES_WANTED = 40
 #: Recall wanted of CALIBRATION_K neighbours, on average over at most CALIBRATION_QUERIES vectors of the sample; 0.9 is
 #: asked of any queries, so a few hundredths more are wanted of these.
 CALIBRATED, CALIBRATION_K, CALIBRATION_QUERIES = 0.95, 20, 200
@@ -98,7 +99,9 @@ class IvfIndex:
         share = max(1, -(-n // sample))
         # about n / share rows by hash of the id; the limit only guards the bound
         chosen = held.select("id", "vector").filter(F.pmod(F.xxhash64("id"), F.lit(share)) == 0).orderBy("id").limit(2 * sample)
-        rows = np.array([r["vector"] for r in chosen.collect()], dtype=np.float64)
+        # in Arrow batches, so no vector becomes a list of Python numbers
+        held_vectors = chosen.select("vector").toArrow().column("vector").combine_chunks()
+        rows = held_vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(held_vectors), -1) if len(held_vectors) else np.zeros((0, 1))
         k = clusters or min(MOST_CLUSTERS, math.isqrt(max(0, n - 1)) + 1)
         centroids = kmeans(rows, k, metric) if len(rows) else np.zeros((0, 1))
         cls._assigned(held, centroids, metric).write.partitionBy("cluster").parquet(f"{path}/rows")
@@ -137,22 +140,37 @@ class IvfIndex:
         d = distances(np.array([query], dtype=np.float64), self.centroids, self.metric)[0]
         return np.argsort(d, kind="stable")[: max(1, nprobe)].tolist()
 
-    def search(self, spark: SparkSession, query: Sequence[float], k: int = 10, nprobe: int | None = None, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
-        """The k nearest among the rows of the nprobe nearest clusters; selective filters are scored in full."""
+    def search(self, spark: SparkSession, query: Sequence[float], k: int = 10, nprobe: int | None = None, filter: Any = None, include=None, schema: Schema | None = None, without: DataFrame | None = None) -> DataFrame:
+        """The k nearest among the rows of the nprobe nearest clusters, and of further ones if a filter leaves few there.
+
+        without: ids (a frame) whose rows in the index no longer count.
+        """
         nprobe = self.nprobe if nprobe is None else nprobe
         query = vector.checked(query, self.centroids.shape[1] if len(self.centroids) else None)
         rows = self.rows(spark)
         schema = schema or Schema.of(rows.drop("cluster"))
-        if filter is not None:
-            kept = filters.apply(rows, filter, schema)
-            # counts no further than the most that could be scored in full
-            candidates = kept.select(F.lit(1)).limit(8193).count()
-            if score_all_candidates(candidates, self.documents, len(self.centroids), nprobe, k):
-                return ranking.knn(kept.drop("cluster"), query, k, self.metric, None, include, schema)
         near = self.probe(query, nprobe)
+        if filter is not None:
+            # a row for each cluster, from the filter's columns alone
+            held = filters.apply(rows, filter, schema).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
+            near = self.enough(self.probe(query, len(self.centroids)), nprobe, {r["cluster"]: r["n"] for r in held}, MATCHES_WANTED * k)
         rows = rows.filter(F.col("cluster").isin(near)) if near else rows.filter(F.lit(False))
+        if without is not None:
+            rows = rows.join(without, "id", "left_anti")
         return ranking.knn(rows.drop("cluster"), query, k, self.metric, filter, include, schema)
 
+    @staticmethod
+    def enough(ranked: Sequence[int], nprobe: int, matches: dict[int, int], wanted: int) -> list[int]:
+        """The nearest clusters that have matches: nprobe of all clusters, and on from there until `wanted` matches."""
+        chosen, found = [], 0
+        for place, cluster in enumerate(ranked):
+            if place >= nprobe and found >= wanted:
+                break
+            if matches.get(cluster):
+                chosen.append(cluster)
+                found += matches[cluster]
+        return chosen
+
 
 def check_nprobe(n: Any) -> int:
     if isinstance(n, bool) or not isinstance(n, int) or n < 1:

@@ -51,8 +51,8 @@ def knn(frame: DataFrame, query: Sequence[float], k: int = DEFAULT_TOP_K, metric
     return _projected(scored, include, "dist").orderBy("dist", "id").limit(check_top_k(k))
 
 
-def order_by(frame: DataFrame, attribute: str, descending: bool = False, k: int = DEFAULT_TOP_K, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
-    """Rows by an attribute, missing values last in both directions."""
+def order_by(frame: DataFrame, attribute: str, descending: bool = False, k: int = DEFAULT_TOP_K, filter: Any = None, include=None, schema: Schema | None = None, ranked: bool = False) -> DataFrame:
+    """Rows by an attribute, missing values last in both directions; ranked adds their place as __rank, for fusion."""
     kept = filters.apply(frame, filter, schema or Schema.of(frame))
     if attribute in kept.columns:
         key = F.col(f"`{attribute}`")
@@ -62,7 +62,9 @@ def order_by(frame: DataFrame, attribute: str, descending: bool = False, k: int
         order = [F.col("id").asc()]
     names = [c for c in attribute_columns(frame, include)]
     top = kept.orderBy(*order).limit(check_top_k(k))
-    return top.select("id", *[f"`{c}`" for c in names])
+    # at most MOST_TOP_K rows are numbered
+    place = [F.row_number().over(Window.orderBy(*order)).alias("__rank")] if ranked else []
+    return top.select("id", *place, *[f"`{c}`" for c in names])
 
 
 def sparse(frame: DataFrame, attribute: str, query: dict[str, float], k: int = DEFAULT_TOP_K, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
@@ -162,7 +164,8 @@ def bm25_from_index(index: TextIndex, query: str, k: int = DEFAULT_TOP_K) -> Dat
 
 
 def fuse(rankings: Sequence[DataFrame], k: float = 60.0, limit: int = DEFAULT_TOP_K) -> DataFrame:
-    """Reciprocal rank fusion: id and the sum of 1 / (k + rank). Each ranking is ordered by its dist or score column.
+    """Reciprocal rank fusion: id and the sum of 1 / (k + rank). Each ranking has its order in a column dist, score or
+    __rank.
 
     Ranks are numbered over at most MOST_TOP_K rows of each ranking, so the unpartitioned window holds a bounded list.
     Attributes come from the first ranking that has any for an id.
@@ -175,8 +178,10 @@ def fuse(rankings: Sequence[DataFrame], k: float = 60.0, limit: int = DEFAULT_TO
             order = [F.col("dist").asc(), F.col("id").asc()]
         elif "score" in ranking.columns:
             order = [F.col("score").desc(), F.col("id").asc()]
+        elif "__rank" in ranking.columns:
+            order = [F.col("__rank").asc()]
         else:
-            order = [F.col("__rank").asc()] if "__rank" in ranking.columns else [F.col("id").asc()]
+            raise Invalid("a ranking to fuse needs a column dist, score or __rank")
         own = [c for c in ranking.columns if c not in ("id", "dist", "score", "__rank")]
         schemas |= {c: ranking.schema[c].dataType for c in own if c not in schemas}
         rank = F.row_number().over(Window.orderBy(*order))

@@ -35,6 +35,15 @@ class Result:
     plan: dict[str, Any] = field(default_factory=dict)
 
 
+@dataclass
+class Tail:
+    """What was written since the last compaction: ids touched, their live rows, and the number of log entries."""
+
+    changed: DataFrame
+    rows: DataFrame
+    entries: int
+
+
 @dataclass
 class Query:
     kind: str | None  # ann, knn, bm25, sparse, order
@@ -159,16 +168,25 @@ def query_vector(argument: Any, embedder: Callable | None) -> list[float]:
     return vector.checked(argument)
 
 
-def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None) -> Result:
-    """One query over live rows. Aggregates cover everything that the filter keeps, not only the ranked rows."""
+def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None, tail: Tail | None = None, ranked: bool = False) -> Result:
+    """One query over live rows. Aggregates cover everything that the filter keeps, not only the ranked rows.
+
+    tail: what was written since the index was built; its rows are scored exactly and take the place of those in the
+    index. ranked: lists ordered by an attribute say their order, as fusion needs.
+    """
     schema = schema or Schema.of(frame)
-    result = Result(plan={"ranking": query.kind, "indexed": False})
+    result = Result(plan={"ranking": query.kind, "indexed": False, "filtered": query.filter is not None, "eventual_seconds": query.eventual_seconds})
     common = {"k": query.top_k, "filter": query.filter, "include": query.include, "schema": schema}
     if query.kind in ("ann", "knn"):
         wanted = vector.checked(query_vector(query.argument, embedder), schema.dim)
         if query.kind == "ann" and index is not None:
-            result.rows = index.search(frame.sparkSession, wanted, query.top_k, query.nprobe, query.filter, query.include, schema)
-            result.plan["indexed"] = True
+            changed = tail.changed if tail else None
+            result.rows = index.search(frame.sparkSession, wanted, query.top_k, query.nprobe, query.filter, query.include, schema, changed)
+            if tail:
+                late = ranking.knn(tail.rows, wanted, metric=schema.metric, **common)
+                both = result.rows.unionByName(late, allowMissingColumns=True)
+                result.rows = both.orderBy("dist", "id").limit(query.top_k)
+            result.plan |= {"indexed": True, "nprobe": query.nprobe or index.nprobe, "clusters": len(index.centroids), "tail_rows": tail.entries if tail else 0}
         else:
             result.rows = ranking.knn(frame, wanted, metric=schema.metric, **common)
     elif query.kind == "bm25":
@@ -176,26 +194,27 @@ def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf
     elif query.kind == "sparse":
         result.rows = ranking.sparse(frame, query.attribute, query.argument, **common)
     elif query.kind == "order":
-        result.rows = ranking.order_by(frame, query.attribute, query.argument, **common)
+        result.rows = ranking.order_by(frame, query.attribute, query.argument, ranked=ranked, **common)
     if query.aggregate_by is not None:
         kept = filters.apply(frame, query.filter, schema)
         result.aggregations = aggregate.aggregate(kept, query.aggregate_by, query.group_by, schema)
     return result
 
 
-def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None):
+def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None, tail: Tail | None = None):
     """A Result; for several queries a list of them, or one fused Result."""
     if raw.get("queries") is None:
         if raw.get("rerank_by") is not None:
             raise Invalid("rerank_by needs queries")
-        return run(frame, parse(raw), schema, index, embedder)
+        return run(frame, parse(raw), schema, index, embedder, tail)
     if set(raw) - {"queries", "rerank_by", "top_k", "limit", "consistency"}:
         raise Invalid("a query of several takes queries, rerank_by, top_k, limit and consistency")
     if not isinstance(raw["queries"], list) or not 1 <= len(raw["queries"]) <= MOST_QUERIES:
         raise Invalid(f"queries must be a list of 1 to {MOST_QUERIES}")
     if any(isinstance(q, dict) and q.get("queries") is not None for q in raw["queries"]):
         raise Invalid("queries cannot be nested")
-    found = [run(frame, parse(q, nested=True), schema, index, embedder) for q in raw["queries"]]
+    fused = raw.get("rerank_by") is not None
+    found = [run(frame, parse(q, nested=True), schema, index, embedder, tail, fused) for q in raw["queries"]]
     if raw.get("rerank_by") is None:
         return found
     rerank = raw["rerank_by"]
@@ -209,12 +228,13 @@ def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None,
 
 
 def execute(collection, raw: dict[str, Any]):
-    """A request against a collection: an index is used for ANN when it covers everything, that is, without a log."""
+    """A request against a collection. ANN reads the index and, exactly, what was written since."""
     seconds = _consistency(raw.get("consistency"))
     frame = collection.live(seconds)
     manifest = collection.manifest(seconds)
-    index = collection.index() if manifest.index and not manifest.log else None
-    return run_all(frame, raw, manifest.schema, index, collection.embedder)
+    index = collection.index(manifest)
+    tail = Tail(*collection.tail(seconds)) if index and manifest.log else None
+    return run_all(frame, raw, manifest.schema, index, collection.embedder, tail)
 
 
 def json_rows(rows: DataFrame) -> list[dict[str, Any]]:

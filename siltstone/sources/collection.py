@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import Conflict, Invalid, NotFound, Overloaded, Unavailable
-from ..operators import mutate
+from ..operators import filters, mutate
 from ..operators.ivf import IvfIndex
 from ..schema import Schema, check_name
 from . import rows as row_source
@@ -42,6 +42,8 @@ class Manifest:
     schema: Schema = field(default_factory=Schema)
     created: float = 0.0
     updated: float = 0.0
+    #: The last batch taken of each source that numbers its batches.
+    sources: dict[str, int] = field(default_factory=dict)
 
     def to_json(self) -> str:
         return json.dumps(self.__dict__ | {"schema": self.schema.to_json()})
@@ -142,6 +144,19 @@ class Collection:
     def live(self, eventual_seconds: float = 0.0) -> DataFrame:
         """The live rows: segment and log folded. Eventual reads take the longest prefix of the log within the limit."""
         manifest = self.manifest(eventual_seconds)
+        entries = self._visible(manifest, eventual_seconds)
+        return mutate.fold(self._entries(manifest, entries)) if entries else self._segment(manifest)
+
+    def tail(self, eventual_seconds: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
+        """What the log holds beside the segment: the ids it touches, their live rows, and its number of entries."""
+        manifest = self.manifest(eventual_seconds)
+        entries = self._visible(manifest, eventual_seconds)
+        log = self._log(manifest, entries)
+        changed = log.select("id").distinct()
+        base = self._segment(manifest).join(changed, "id", "left_semi")
+        return changed, mutate.fold(self._with_base(base, log)), sum(e["rows"] for e in entries)
+
+    def _visible(self, manifest: Manifest, eventual_seconds: float) -> list[dict[str, Any]]:
         if not manifest.version:
             raise NotFound(f"no collection {self.name!r}")
         entries, held = [], 0
@@ -152,7 +167,7 @@ class Collection:
                     raise Unavailable("too much unfolded log for a consistent read; compact first")
                 break
             entries.append(entry)
-        return mutate.fold(self._entries(manifest, entries)) if entries else self._segment(manifest)
+        return entries
 
     def _segment(self, manifest: Manifest) -> DataFrame:
         schema = manifest.schema.struct()
@@ -160,13 +175,21 @@ class Collection:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(f"{self.path}/{manifest.segment}")
 
-    def _entries(self, manifest: Manifest, entries: list[dict[str, Any]]) -> DataFrame:
+    def _log(self, manifest: Manifest, entries: list[dict[str, Any]]) -> DataFrame:
+        """Log rows in order; where an entry stands is in the manifest, so its files need not be written again for it."""
         kind = T.StructType([*manifest.schema.struct().fields, *LOG_FIELDS])
         log = self.spark.read.schema(kind).parquet(*[f"{self.path}/{e['path']}" for e in entries])
-        log = log.withColumn("ord", F.struct("seq", "pos")).drop("seq", "pos")
-        if not manifest.segment:
-            return log
-        base = self._segment(manifest).withColumn("op", F.lit("U")).withColumn("touched", F.lit(None).cast("array<string>"))
+        numbers = F.create_map(*[F.lit(x) for e in entries for x in (e["path"].rpartition("/")[2], e["seq"])])
+        own = F.element_at(numbers, F.regexp_extract(F.col("_metadata.file_path"), "/log/([0-9a-f]{32})/", 1)).cast("long")
+        return log.withColumn("ord", F.struct(own.alias("seq"), F.col("pos"))).drop("pos")
+
+    def _entries(self, manifest: Manifest, entries: list[dict[str, Any]]) -> DataFrame:
+        log = self._log(manifest, entries)
+        return self._with_base(self._segment(manifest), log) if manifest.segment else log
+
+    @staticmethod
+    def _with_base(rows: DataFrame, log: DataFrame) -> DataFrame:
+        base = rows.withColumn("op", F.lit("U")).withColumn("touched", F.lit(None).cast("array<string>"))
         return base.withColumn("ord", F.struct(F.lit(0).cast("long").alias("seq"), F.lit(0).cast("long").alias("pos"))).unionByName(log)
 
     # ------------------------------------------------------------ writing
@@ -189,17 +212,16 @@ class Collection:
         entries: list[tuple[str, dict[str, Any], list[str] | None]] = []
         state = self.live() if self.exists() else None
         schema = self.manifest().schema
+        # ids that filters find go from the live rows to a log entry without passing through the driver
+        found: list[tuple[str, str, dict[str, Any]]] = []
         if request.get("delete_by_filter") is not None:
-            ids = self._ids(state, request["delete_by_filter"], mutate.DELETE_CAP, schema, counts)
-            entries += [("D", {"id": i}, None) for i in ids]
-            counts["deleted"] = len(ids)
+            found.append(("D", self._matches(state, request["delete_by_filter"], mutate.DELETE_CAP, schema, "deleted", counts), {}))
         if request.get("patch_by_filter") is not None:
             change = request["patch_by_filter"].get("patch") or {}
             if not change or {"id", "vector"} & set(change):
                 raise Invalid("patch_by_filter needs a patch of attributes")
-            ids = self._ids(state, request["patch_by_filter"].get("filters"), mutate.PATCH_CAP, schema, counts)
-            entries += [("P", {"id": i} | change, sorted(change)) for i in ids]
-            counts["patched"] = len(ids)
+            ids = self._matches(state, request["patch_by_filter"].get("filters"), mutate.PATCH_CAP, schema, "patched", counts)
+            found.append(("P", ids, change))
         self._embed(upsert, declared.get("embed") or schema.embed)
         entries += [("U", r, None) for r in upsert]
         entries += [("P", r, sorted(set(r) - {"id"})) for r in patch]
@@ -208,16 +230,20 @@ class Collection:
             if n:
                 counts[name] = counts.get(name, 0) + n
         counts["affected"] = sum(counts.get(k, 0) for k in ("upserted", "patched", "deleted"))
-        self._append_rows(entries, declared)
+        self._append_rows(entries, declared, [x for x in found if x[1]])
         return counts
 
-    def _ids(self, state, filter, cap, schema, counts) -> list[Any]:
+    def _matches(self, state, filter, cap, schema, name: str, counts: dict[str, int]) -> str | None:
+        """The path of a table of the ids that a filter keeps, at most cap of them, the smallest first."""
         if state is None:
-            return []
-        found = [r["id"] for r in mutate.matching_ids(state, filter, cap + 1, schema).collect()]  # capped by contract
-        if len(found) > cap:
+            counts[name] = 0
+            return None
+        path = f"{self.path}/matches/{uuid.uuid4().hex}"
+        mutate.matching_ids(state, filter, cap, schema).write.parquet(path)
+        counts[name] = self.spark.read.parquet(path).count()
+        if counts[name] == cap and filters.apply(state, filter, schema).limit(cap + 1).count() > cap:
             counts["rows_remaining"] = 1
-        return found[:cap]
+        return path if counts[name] else None
 
     def _embed(self, rows: list[dict[str, Any]], embed: dict[str, str]) -> None:
         """Vectors for rows that have none, from the first embedded attribute that they hold; one call for all."""
@@ -230,50 +256,76 @@ class Collection:
         for (row, _), found in zip(waiting, self.embedder([t for _, t in waiting]), strict=True):
             row["vector"] = found
 
-    def _append_rows(self, entries, declared: dict[str, Any]) -> None:
-        def with_schema(manifest: Manifest):
-            schema = manifest.schema.declare(**declared)
-            return schema.absorb([r for _, r, _ in entries])
-
-        path = f"log/{uuid.uuid4().hex}"
+    def _append_rows(self, entries, declared: dict[str, Any], found) -> None:
+        """One log entry of what filters found (op, path of ids, change), then the rows of the request in their order."""
+        path, written = f"log/{uuid.uuid4().hex}", None
 
         def change(manifest: Manifest) -> Manifest:
-            schema, rows = with_schema(manifest)
+            nonlocal written
+            schema = manifest.schema.declare(**declared)
+            changes = [c for _, _, c in found]
+            schema, rows = schema.absorb([r for _, r, _ in entries] + [{"id": "" if schema.id_type in ("string", "uuid") else 0} | c for c in changes if c])
             manifest.schema = schema
-            if entries:
-                kind = T.StructType([*schema.struct().fields, *LOG_FIELDS])
+            if not entries and not found:
+                return manifest
+            kind = T.StructType([*schema.struct().fields, *LOG_FIELDS])
+            if written != (kind, rows):  # the first time, or if another writer changed what the values become
                 data = [
-                    tuple(row.get(f.name) for f in kind[:-4]) + (manifest.next_seq, pos, op, touched)
-                    for pos, ((op, _, touched), row) in enumerate(zip(entries, rows, strict=True))
+                    tuple(row.get(f.name) for f in kind[: -len(LOG_FIELDS)]) + (len(found) + pos, op, touched)
+                    for pos, ((op, _, touched), row) in enumerate(zip(entries, rows, strict=False))
                 ]
-                self.spark.createDataFrame(data, kind).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/{path}")
-                manifest.log.append({"seq": manifest.next_seq, "path": path, "bytes": self._size(path), "rows": len(data)})
-                manifest.next_seq += 1
+                log = self.spark.createDataFrame(data, kind).coalesce(1)
+                coerced = iter(rows[len(entries) :])
+                for pos, (op, ids, own) in enumerate(found):
+                    one = next(coerced) if own else {}
+                    names = [f for f in kind[1 : -len(LOG_FIELDS)]]
+                    values = [F.lit(one.get(f.name)).cast(f.dataType).alias(f.name) for f in names]
+                    touched = F.array(*[F.lit(n) for n in sorted(own)]) if own else F.lit(None)
+                    log = log.unionByName(self.spark.read.parquet(ids).select(F.col("id").cast(kind["id"].dataType), *values, F.lit(pos).cast("long").alias("pos"), F.lit(op).alias("op"), touched.cast("array<string>").alias("touched")))
+                log.write.mode("overwrite").parquet(f"{self.path}/{path}")
+                written = kind, rows
+            manifest.log.append({"seq": manifest.next_seq, "path": path, "bytes": self._size(path), "rows": self._rows(path)})
+            manifest.next_seq += 1
             return manifest
 
         self._commit(change)
+        for _, ids, _ in found:
+            self._fs.delete(self._hadoop(ids), True)
+
+    def _rows(self, path: str) -> int:
+        return self.spark.read.parquet(f"{self.path}/{path}").count()
 
     def _size(self, path: str) -> int:
         return int(self._fs.getContentSummary(self._hadoop(f"{self.path}/{path}")).getLength())
 
-    def append(self, log: DataFrame, schema: Schema | None = None) -> None:
+    def append(self, log: DataFrame, schema: Schema | None = None, source: tuple[str, int] | None = None) -> None:
         """Commit a frame of log entries (id, pos, op, touched and typed columns) as one entry, however large.
 
+        source names where the entries come from and numbers the batch: one that was taken before is not taken again.
         Used for batch and streaming ingest: nothing passes through the driver. A log that grows beyond WRITE_LIMIT is
         folded at once.
         """
-        path = f"log/{uuid.uuid4().hex}"
+        if source and self.manifest().sources.get(source[0], -1) >= source[1]:
+            return
+        path, written = f"log/{uuid.uuid4().hex}", None
         found = schema or Schema.of(log.drop("op", "pos", "touched", "ord"))
         id_type = "uint" if isinstance(log.schema["id"].dataType, (T.LongType, T.IntegerType)) else "string"
 
         def change(manifest: Manifest) -> Manifest:
+            nonlocal written
+            if source:
+                if manifest.sources.get(source[0], -1) >= source[1]:
+                    return manifest
+                manifest.sources[source[0]] = source[1]
             new = manifest.schema.declare(types=found.types)
             manifest.schema = Schema(**new.__dict__ | {"id_type": new.id_type or id_type, "started": True})
             kind = manifest.schema.struct()
             columns = [(F.col(f"`{f.name}`") if f.name in log.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind]
-            rows = log.select(*columns, F.lit(manifest.next_seq).cast("long").alias("seq"), F.col("pos").cast("long").alias("pos"), "op", "touched")
-            rows.write.mode("overwrite").parquet(f"{self.path}/{path}")
-            manifest.log.append({"seq": manifest.next_seq, "path": path, "bytes": self._size(path), "rows": -1})
+            if written != kind:
+                rows = log.select(*columns, F.col("pos").cast("long").alias("pos"), "op", "touched")
+                rows.write.mode("overwrite").parquet(f"{self.path}/{path}")
+                written = kind
+            manifest.log.append({"seq": manifest.next_seq, "path": path, "bytes": self._size(path), "rows": self._rows(path)})
             manifest.next_seq += 1
             return manifest
 
@@ -312,15 +364,15 @@ class Collection:
 
         return self._commit(change)
 
-    def index(self) -> IvfIndex | None:
-        manifest = self._required()
+    def index(self, manifest: Manifest | None = None) -> IvfIndex | None:
+        manifest = manifest or self._required()
         return IvfIndex.load(self.spark, f"{self.path}/{manifest.index}") if manifest.index else None
 
     def gc(self, grace_seconds: float = GRACE_SECONDS) -> int:
         """Delete data that no manifest names and that is older than the grace period; old manifests go too."""
         manifest, gone, now = self._required(), 0, time.time()
         used = manifest.files()
-        for folder in ("log", "segments", "index"):
+        for folder in ("log", "segments", "index", "matches"):
             for name, at in self._names(folder):
                 if f"{folder}/{name}" not in used and now - at >= grace_seconds:
                     gone += bool(self._fs.delete(self._hadoop(f"{self.path}/{folder}/{name}"), True))
@@ -364,7 +416,7 @@ class Collection:
         return execute(self, request)
 
 
-LOG_FIELDS = [T.StructField("seq", T.LongType()), T.StructField("pos", T.LongType()), T.StructField("op", T.StringType()), T.StructField("touched", T.ArrayType(T.StringType()))]
+LOG_FIELDS = [T.StructField("pos", T.LongType()), T.StructField("op", T.StringType()), T.StructField("touched", T.ArrayType(T.StringType()))]
 
 
 def declarations(request: dict[str, Any]) -> dict[str, Any]:

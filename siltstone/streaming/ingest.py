@@ -1,7 +1,7 @@
 """Change logs as streams: every micro-batch is one commit, and a collection's live rows follow.
 
-A batch that is replayed after a failure appends the same entries again at the end of the log, which folds to the same
-rows.
+A batch that is replayed after a failure is not taken again: the manifest keeps the number of the last batch of each
+source, under the name of the stream's checkpoint.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ def into_collection(stream: DataFrame, collection: Collection, checkpoint: str,
         entries = to_log(batch) if to_log else batch
         if entries.isEmpty():
             return
-        collection.append(entries)
+        collection.append(entries, source=(checkpoint, batch_id))
         if compact and collection.needs_compaction():
             collection.compact(build_index=False)
 

@@ -5,7 +5,6 @@ import pytest
 
 from siltstone.errors import Invalid
 from siltstone.operators import ivf, ranking
-from siltstone.plans.planner import score_all_candidates
 
 
 def ids(frame):
@@ -52,12 +51,20 @@ def test_fusion(spark):
         ranking.fuse([a, b], 0)
 
 
-@pytest.mark.parametrize("args,exact", [
-    ((20, 1000, 40, 1, 10), True), ((200, 1000, 40, 8, 10), True), ((400, 8000, 82, 1, 10), True), ((5, 5, 0, 8, 10), True), ((0, 0, 0, 0, 0), True),
-    ((400, 8000, 82, 1, 1), False), ((7600, 8000, 82, 1, 10), False), ((500, 1000, 40, 8, 1), False), ((8193, 100000000, 10, 1, 10), False),
-])
-def test_planner(args, exact):
-    assert score_all_candidates(*args) is exact
+def test_filtered_probes_go_on_until_enough_rows_match():
+    matches = {0: 5, 2: 1, 3: 50, 4: 7}
+    assert ivf.IvfIndex.enough([4, 1, 0, 3, 2], 2, matches, 10) == [4, 0]
+    assert ivf.IvfIndex.enough([4, 1, 0, 3, 2], 4, matches, 10) == [4, 0, 3]
+    assert ivf.IvfIndex.enough([4, 1, 0, 3, 2], 1, matches, 1000) == [4, 0, 3, 2]
+    assert ivf.IvfIndex.enough([1, 5], 2, matches, 1) == [] == ivf.IvfIndex.enough([], 8, {}, 1)
+
+
+def test_fusion_needs_an_order(spark):
+    rows = spark.createDataFrame([(1, 30), (2, 10), (3, 20)], "id long, n long")
+    fused = ranking.fuse([ranking.order_by(rows, "n", True, ranked=True, include=["n"])])
+    assert ids(fused) == [1, 3, 2] and fused.columns == ["id", "score", "n"]
+    with pytest.raises(Invalid):
+        ranking.fuse([ranking.order_by(rows, "n")])
 
 
 def test_kmeans_finds_three_centres():
