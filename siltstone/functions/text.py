@@ -1,8 +1,8 @@
 """From text to tokens, as columns.
 
 Split at everything that is not alphabetic or numeric, lower-case, drop stopwords, stem, fold accents, drop tokens
-that are too long. All but stemming and folding are built-in functions; these two run once per distinct token list in
-Arrow batches.
+that are too long. All but stemming and folding are built-in functions; these two see each distinct token of an Arrow
+batch once.
 """
 
 from __future__ import annotations
@@ -11,7 +11,9 @@ import unicodedata
 from collections.abc import Iterator
 from dataclasses import asdict, dataclass
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -75,10 +77,11 @@ def fold(token: str) -> str:
 
 
 def _finished(config: TextConfig):
-    """A function of token lists that stems and folds; the memory of distinct tokens lives as long as the worker."""
+    """A function of token lists that stems and folds. Each distinct token of a batch is looked at once; the memory of
+    tokens lives as long as the worker's task."""
 
-    @F.pandas_udf(T.ArrayType(T.StringType()))
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         known: dict[str, str] = {}
         stem = stemmers.stemmer(config.language) if config.stemming else str
 
@@ -94,7 +97,11 @@ def _finished(config: TextConfig):
             return found
 
         for lists in batches:
-            yield lists.map(lambda tokens: None if tokens is None else [one(t) for t in tokens])
+            coded = lists.flatten().dictionary_encode()
+            ends = pa.array([one(t) for t in coded.dictionary.to_pylist()], pa.string())
+            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield pa.ListArray.from_arrays(pa.array(edges), ends.take(coded.indices), mask=lists.is_null())
 
     return run
 

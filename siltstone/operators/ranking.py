@@ -10,12 +10,13 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from ..errors import Invalid
 from ..functions import text, vector
 from ..schema import Schema
+from ..sources.workspace import fresh
 from . import filters
 
 DEFAULT_TOP_K, MOST_TOP_K = 10, 10_000
@@ -115,39 +116,42 @@ def text_index(frame: DataFrame, attribute: str, config: text.TextConfig | None
 def bm25(frame: DataFrame, attribute: str, query: str, k: int = DEFAULT_TOP_K, config: text.TextConfig | None = None, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
     """The k rows that match a text best, with statistics over the whole collection, filtered or not.
 
-    One scan finds the statistics of the query's terms: rows, lengths and document counts in a single partial
-    aggregation. A second scan scores: term counts are taken from each row's tokens where they stand, so no posting
-    ever moves between executors.
+    One scan does all: term counts are taken from each row's tokens where they stand, the statistics of the query's terms
+    are observed on the way, and the rows that hold a term are written with their counts. Those few are then scored.
     """
     schema = schema or Schema.of(frame)
     config = config or schema.text.get(attribute) or text.TextConfig()
     kind = schema.types.get(attribute, "string")
     wanted = list(dict.fromkeys(text.tokenize(query, config)))
     held = text.tokens(text.joined(F.col(f"`{attribute}`"), kind), config) if attribute in frame.columns else F.lit(None).cast("array<string>")
-    counts = {f"__tf{i}": _occurrences(w) for i, w in enumerate(wanted)}
-    measured = frame.select(held.alias("__tokens"))
-    stats = measured.agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg(F.coalesce(F.size("__tokens"), F.lit(0))).alias("average"),
-        *[F.count(F.when(F.array_contains("__tokens", w), 1)).alias(f"df{i}") for i, w in enumerate(wanted)],
-    ).first()
-    kept = filters.apply(frame, filter, schema)
-    empty = not wanted or not stats["average"]
-    kept = kept.withColumn("__tokens", held)
+    names = attribute_columns(frame, include)
+    if not wanted:
+        return _projected(frame.filter(F.lit(False)).withColumn("score", F.lit(0.0)), names, "score")
+    tfs = [_occurrences(w).cast("double").alias(f"__tf{i}") for i, w in enumerate(wanted)]
+    passes = F.lit(True) if filter is None else filters.FilterCompiler(schema).compile(filter, total=True)
+    own = [c for c in names if c != "score"]
+    seen = Observation()
+    rows = frame.withColumn("__tokens", held).withColumn("__passes", passes)
+    rows = rows.select("id", *[f"`{c}`" for c in own], "__passes", F.coalesce(F.size("__tokens"), F.lit(0)).cast("double").alias("__dl"), *tfs)
+    rows = rows.observe(seen, F.count(F.lit(1)).alias("n"), F.avg("__dl").alias("average"), *[F.sum((F.col(f"__tf{i}") > 0).cast("long")).alias(f"df{i}") for i in range(len(wanted))])
+    some = F.lit(False)
+    for i in range(len(wanted)):
+        some = some | (F.col(f"__tf{i}") > 0)
+    path = fresh(frame.sparkSession, "bm25")
+    rows.filter(some).write.parquet(path)
+    stats, kept = seen.get, frame.sparkSession.read.schema(rows.schema).parquet(path).filter("__passes")
     score = F.lit(0.0)
-    for i, name in enumerate(counts):
-        df, tf = float(stats[f"df{i}"]), counts[name].cast("double")
+    for i in range(len(wanted)):
+        df, tf = float(stats[f"df{i}"] or 0), F.col(f"__tf{i}")
         idf = F.log(F.lit(1.0) + F.lit((stats["n"] - df + 0.5) / (df + 0.5)))
-        length = F.size("__tokens").cast("double")
-        share = F.lit(1.0 - config.b) + F.lit(config.b) * length / F.lit(stats["average"] or 1.0)
+        share = F.lit(1.0 - config.b) + F.lit(config.b) * F.col("__dl") / F.lit(stats["average"] or 1.0)
         score = score + F.when(tf > 0, idf * tf * F.lit(config.k1 + 1.0) / (tf + F.lit(config.k1) * share)).otherwise(0.0)
-    kept = kept.filter(F.lit(False)) if empty else kept.filter(F.arrays_overlap("__tokens", F.array(*[F.lit(w) for w in wanted])))
-    scored = kept.withColumn("score", score).filter("score > 0").drop("__tokens")
-    return _projected(scored, include, "score").orderBy(F.col("score").desc(), "id").limit(check_top_k(k))
+    scored = kept.withColumn("score", score).filter("score > 0")
+    return _projected(scored, names, "score").orderBy(F.col("score").desc(), "id").limit(check_top_k(k))
 
 
 def _occurrences(word: str) -> Column:
-    return F.size(F.filter(F.col("__tokens"), lambda t: t == word))
+    return F.coalesce(F.size(F.filter(F.col("__tokens"), lambda t: t == word)), F.lit(0))
 
 
 def bm25_from_index(index: TextIndex, query: str, k: int = DEFAULT_TOP_K) -> DataFrame:

@@ -75,6 +75,11 @@ def test_bm25(corpus):
     assert max(find("sleeps").values()) > max(find("dog").values())
 
 
+def test_bm25_of_no_rows(corpus):
+    for none in (corpus.filter("false"), corpus.filter("id > 99"), corpus.withColumn("body", F.lit(None).cast("string"))):
+        assert ranking.bm25(none, "body", "quick fox").collect() == []
+
+
 def test_stored_postings_rank_alike(corpus):
     index = ranking.text_index(corpus, "body")
     stored = {r["id"]: round(r["score"], 9) for r in ranking.bm25_from_index(index, "quick fox dog").collect()}
