@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .functions import text
 from .functions.text import TextConfig
-from .operators import aggregate, filters, ivf, mutate, ranking
+from .operators import aggregate, filters, inverted, ivf, mutate, ranking
 from .plans import request
 from .schema import Schema
 from .sources import rows as row_source
@@ -234,12 +234,12 @@ _order("r_order_desc", "price", True, "price DESC NULLS LAST")
 _order("r_order_missing_last", "kind_opt", True, "kind_opt DESC NULLS LAST")
 
 
-def _bm25_sql(where: str = "true", k: int = 20) -> str:
+def _bm25_sql(where: str = "true", k: int = 20, counted: str = "true") -> str:
     terms = ", ".join(f"('{t}')" for t in RARE_TERMS.split())
     return f"""
-WITH d AS (SELECT *, len(tokens) AS dl FROM {TEXTS_SQL}), s AS (SELECT count(*) AS n, avg(dl) AS a FROM d),
-p AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(tokens) AS term FROM d) JOIN (VALUES {terms}) t(term) USING (term) GROUP BY id, term),
-f AS (SELECT term, count(*) AS df FROM p GROUP BY term)
+WITH d AS (SELECT *, len(tokens) AS dl FROM {TEXTS_SQL}), s AS (SELECT count(*) AS n, avg(dl) AS a FROM d WHERE {counted}),
+p AS (SELECT id, term, any_value(lang) AS lang, count(*) AS tf FROM (SELECT id, lang, unnest(tokens) AS term FROM d) JOIN (VALUES {terms}) t(term) USING (term) GROUP BY id, term),
+f AS (SELECT term, count(*) FILTER (WHERE {counted}) AS df FROM p GROUP BY term)
 SELECT d.id, d.lang, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * dl / a))), 9) AS score
 FROM p JOIN f USING (term) JOIN d ON d.id = p.id, s WHERE {where} GROUP BY d.id, d.lang ORDER BY score DESC, d.id LIMIT {k}"""
 
@@ -257,7 +257,29 @@ def r_bm25_filtered(spark, sf_dir):
 
 @register("r_bm25_index", _bm25_sql().replace("d.id, d.lang, round", "d.id, round").replace("d.id, d.lang ORDER", "d.id ORDER"))
 def r_bm25_index(spark, sf_dir):
-    return _rounded(ranking.bm25_from_index(ranking.text_index(documents(spark, sf_dir), "text", PLAIN), RARE_TERMS, 20))
+    """From stored lists, of which only those of the query's terms are read."""
+    held = documents(spark, sf_dir)
+    schema = Schema.of(held.select("id", "text"), text={"text": PLAIN})
+    lists = inverted.InvertedIndex.build(held, workspace.fresh(spark, "lists"), schema, 1)
+    return _rounded(lists.bm25(held, "text", RARE_TERMS, 20))
+
+
+def _half_listed(spark: SparkSession, sf_dir: str) -> Collection:
+    """English documents compacted and listed, all others still in the log."""
+    collection = Collection(spark, workspace.fresh(spark, "collections"), "texts")
+    collection.write({"schema": {"text": {"type": "string", "full_text_search": PLAIN.to_json()}}})
+    log = documents(spark, sf_dir).select("id", "text", "lang", F.lit("U").alias("op"), F.lit(0).alias("pos"), F.lit(None).cast("array<string>").alias("touched"))
+    collection.append(log.filter("lang = 'en'"))
+    collection.compact()
+    collection.append(log.filter("lang is distinct from 'en'"))
+    return collection
+
+
+@register("r_bm25_tail", _bm25_sql(counted="lang = 'en'"))
+def r_bm25_tail(spark, sf_dir):
+    """Rows written since the last compaction are scored against the statistics of the lists."""
+    asked = {"rank_by": ["text", "BM25", RARE_TERMS], "top_k": 20, "include_attributes": ["lang"]}
+    return _rounded(_half_listed(spark, sf_dir).query(asked).rows)
 
 
 @register("r_bm25_stemmed")
@@ -275,9 +297,13 @@ def order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return held.groupBy(F.col("l_orderkey").alias("id")).agg(entries.alias("terms"))
 
 
-def _sparse(name: str, weights: dict[str, float], k: int) -> None:
+def _sparse(name: str, weights: dict[str, float], k: int, listed: bool = False) -> None:
     def run(spark, sf_dir):
-        return ranking.sparse(order_terms(spark, sf_dir), "terms", weights, k)
+        held = order_terms(spark, sf_dir)
+        if listed:
+            lists = inverted.InvertedIndex.build(held, workspace.fresh(spark, "lists"), Schema.of(held), 1)
+            return lists.sparse(held, "terms", weights, k)
+        return ranking.sparse(held, "terms", weights, k)
 
     case = " ".join(f"WHEN '{n}' THEN {w}" for n, w in weights.items())
     register(
@@ -288,6 +314,7 @@ def _sparse(name: str, weights: dict[str, float], k: int) -> None:
 
 _sparse("r_sparse", {"A": 1.0, "R": 2.0}, 50)
 _sparse("r_sparse_negative", {"N": -1.0, "zebra": 3.0}, 50)
+_sparse("r_sparse_index", {"A": 1.0, "R": 2.0}, 50, listed=True)
 
 
 def _hybrid(spark, sf_dir):

@@ -117,6 +117,24 @@ def tokens(text: Column, config: TextConfig | None = None) -> Column:
     return F.filter(found, lambda t: (F.octet_length(t) > 0) & (F.octet_length(t) <= config.max_token_length))
 
 
+@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])))
+def positions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Of a token list, each distinct token and where it stands, from 0."""
+    for lists in batches:
+        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        n, row = len(coded), np.repeat(np.arange(len(lists), dtype=np.int64), lengths)
+        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(key, kind="stable")
+        first = np.flatnonzero(np.diff(key[order], prepend=-1))
+        where = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), pa.array(place[order], pa.int32()))
+        terms = coded.indices.take(pa.array(order[first]))
+        found = pa.StructArray.from_arrays([coded.dictionary.take(terms), where], ["term", "positions"])
+        edges = np.append(0, np.cumsum(np.bincount(row[order[first]], minlength=len(lists))))
+        yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found)
+
+
 def joined(column: Column, kind: str) -> Column:
     """Text of an attribute: a string, or a list of strings joined by spaces."""
     return F.array_join(column, " ") if kind == "[]string" else column

@@ -7,7 +7,6 @@ and one merge of k rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
 from typing import Any
 
 from pyspark.sql import Column, DataFrame, Observation, Window
@@ -70,47 +69,34 @@ def order_by(frame: DataFrame, attribute: str, descending: bool = False, k: int
 
 def sparse(frame: DataFrame, attribute: str, query: dict[str, float], k: int = DEFAULT_TOP_K, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
     """The k greatest products over shared dimensions; products of zero are left out, negative ones stay."""
-    if not isinstance(query, dict):
-        raise Invalid("a sparse query maps names to weights")
-    weights = {str(n): float(w) for n, w in query.items() if w}
+    weights = sparse_weights(query)
     kept = filters.apply(frame, filter, schema or Schema.of(frame))
-    total = F.lit(0.0)
-    for name, weight in sorted(weights.items()):
-        held = F.coalesce(F.try_element_at(F.col(f"`{attribute}`"), F.lit(name)).cast("double"), F.lit(0.0))
-        total = total + held * F.lit(weight)
+    total = sparse_score([F.try_element_at(F.col(f"`{attribute}`"), F.lit(n)) for n in weights], list(weights.values()))
     scored = kept.withColumn("score", total).filter("score <> 0")
     return _projected(scored, include, "score").orderBy(F.col("score").desc(), "id").limit(check_top_k(k))
 
 
-@dataclass
-class TextIndex:
-    """Postings (term, id, tf, dl), document counts of terms (term, df), and the statistics of the collection."""
+def sparse_weights(query: dict[str, float]) -> dict[str, float]:
+    """Weights other than zero, by name."""
+    if not isinstance(query, dict):
+        raise Invalid("a sparse query maps names to weights")
+    return {str(n): float(w) for n, w in sorted(query.items()) if w}
 
-    postings: DataFrame
-    documents: int
-    average: float
-    config: text.TextConfig
 
-    def document_frequencies(self, terms: Sequence[str]) -> dict[str, int]:
-        found = self.postings.filter(F.col("term").isin(list(terms))).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-        return {r["term"]: r["df"] for r in found.collect()}  # at most the terms of one query
+def sparse_score(held: Sequence[Column], weights: Sequence[float]) -> Column:
+    """The sum of products, missing values as 0, in the order given."""
+    total = F.lit(0.0)
+    for own, weight in zip(held, weights, strict=True):
+        total = total + F.coalesce(own.cast("double"), F.lit(0.0)) * F.lit(weight)
+    return total
 
 
 def postings(frame: DataFrame, attribute: str, config: text.TextConfig, schema: Schema | None = None) -> DataFrame:
-    """term, id, tf and dl of every term of every row."""
+    """id, dl, term, tf and positions of every term of every row, counted within the row: nothing is exchanged."""
     kind = (schema or Schema.of(frame)).types.get(attribute, "string")
     held = frame.select("id", text.tokens(text.joined(F.col(f"`{attribute}`"), kind), config).alias("tokens"))
-    held = held.filter(F.size("tokens") > 0).select("id", F.size("tokens").alias("dl"), F.explode("tokens").alias("term"))
-    return held.groupBy("term", "id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
-
-
-def text_index(frame: DataFrame, attribute: str, config: text.TextConfig | None = None, schema: Schema | None = None) -> TextIndex:
-    """Statistics count every row; missing text has length 0."""
-    config = config or text.TextConfig()
-    kind = (schema or Schema.of(frame)).types.get(attribute, "string")
-    size = F.size(text.tokens(text.joined(F.col(f"`{attribute}`"), kind), config))
-    row = frame.select(F.when(size > 0, size).otherwise(0).alias("dl")).agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("a")).first()
-    return TextIndex(postings(frame, attribute, config, schema), row["n"], row["a"] or 0.0, config)
+    held = held.filter(F.size("tokens") > 0).select("id", F.size("tokens").alias("dl"), F.inline(text.positions(F.col("tokens"))))
+    return held.select("id", "dl", "term", F.size("positions").cast("long").alias("tf"), "positions")
 
 
 def bm25(frame: DataFrame, attribute: str, query: str, k: int = DEFAULT_TOP_K, config: text.TextConfig | None = None, filter: Any = None, include=None, schema: Schema | None = None) -> DataFrame:
@@ -140,31 +126,31 @@ def bm25(frame: DataFrame, attribute: str, query: str, k: int = DEFAULT_TOP_K, c
     path = fresh(frame.sparkSession, "bm25")
     rows.filter(some).write.parquet(path)
     stats, kept = seen.get, frame.sparkSession.read.schema(rows.schema).parquet(path).filter("__passes")
-    score = F.lit(0.0)
-    for i in range(len(wanted)):
-        df, tf = float(stats[f"df{i}"] or 0), F.col(f"__tf{i}")
-        idf = F.log(F.lit(1.0) + F.lit((stats["n"] - df + 0.5) / (df + 0.5)))
-        share = F.lit(1.0 - config.b) + F.lit(config.b) * F.col("__dl") / F.lit(stats["average"] or 1.0)
-        score = score + F.when(tf > 0, idf * tf * F.lit(config.k1 + 1.0) / (tf + F.lit(config.k1) * share)).otherwise(0.0)
+    score = bm25_score([stats[f"df{i}"] or 0 for i in range(len(wanted))], stats["n"], stats["average"] or 0.0, config)
     scored = kept.withColumn("score", score).filter("score > 0")
     return _projected(scored, names, "score").orderBy(F.col("score").desc(), "id").limit(check_top_k(k))
 
 
-def _occurrences(word: str) -> Column:
-    return F.coalesce(F.size(F.filter(F.col("__tokens"), lambda t: t == word)), F.lit(0))
+def bm25_score(frequencies: Sequence[int], documents: int, average: float, config: text.TextConfig) -> Column:
+    """The score of a row from its length __dl and the counts __tf0, __tf1, .. of the query's terms."""
+    score = F.lit(0.0)
+    for i, df in enumerate(frequencies):
+        tf = F.col(f"__tf{i}")
+        idf = F.log(F.lit(1.0) + F.lit((documents - df + 0.5) / (df + 0.5)))
+        share = F.lit(1.0 - config.b) + F.lit(config.b) * F.col("__dl") / F.lit(average or 1.0)
+        score = score + F.when(tf > 0, idf * tf * F.lit(config.k1 + 1.0) / (tf + F.lit(config.k1) * share)).otherwise(0.0)
+    return score
+
+
+def with_term_counts(frame: DataFrame, attribute: str, kind: str, wanted: Sequence[str], config: text.TextConfig) -> DataFrame:
+    """The frame with __dl and __tf0, __tf1, .. beside its columns."""
+    held = text.tokens(text.joined(F.col(f"`{attribute}`"), kind), config)
+    rows = frame.withColumn("__tokens", held).withColumn("__dl", F.coalesce(F.size("__tokens"), F.lit(0)).cast("double"))
+    return rows.withColumns({f"__tf{i}": _occurrences(w).cast("double") for i, w in enumerate(wanted)}).drop("__tokens")
 
 
-def bm25_from_index(index: TextIndex, query: str, k: int = DEFAULT_TOP_K) -> DataFrame:
-    """BM25 from stored postings: only those of the query's terms are read."""
-    wanted = list(dict.fromkeys(text.tokenize(query, index.config)))
-    held = index.postings.filter(F.col("term").isin(wanted)) if wanted else index.postings.filter(F.lit(False))
-    idf = F.lit(0.0)
-    for term, df in index.document_frequencies(wanted).items() if wanted else ():
-        idf = F.when(F.col("term") == term, F.log(F.lit(1.0 + (index.documents - df + 0.5) / (df + 0.5)))).otherwise(idf)
-    c, tf = index.config, F.col("tf").cast("double")
-    part = idf * tf * (c.k1 + 1.0) / (tf + c.k1 * (1.0 - c.b + c.b * F.col("dl") / F.lit(index.average or 1.0)))
-    scored = held.groupBy("id").agg(F.sum(part).alias("score")).filter("score > 0")
-    return scored.orderBy(F.col("score").desc(), "id").limit(check_top_k(k))
+def _occurrences(word: str) -> Column:
+    return F.coalesce(F.size(F.filter(F.col("__tokens"), lambda t: t == word)), F.lit(0))
 
 
 def fuse(rankings: Sequence[DataFrame], k: float = 60.0, limit: int = DEFAULT_TOP_K) -> DataFrame:

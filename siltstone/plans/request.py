@@ -16,7 +16,8 @@ from pyspark.sql import DataFrame
 
 from ..errors import Invalid, Unsupported
 from ..functions import vector
-from ..operators import aggregate, filters, ivf, ranking
+from ..functions.text import TextConfig
+from ..operators import aggregate, filters, inverted, ivf, ranking
 from ..schema import Schema
 
 FIELDS = {"rank_by", "top_k", "limit", "filters", "include_attributes", "consistency", "vector_encoding", "queries", "rerank_by", "aggregate_by", "group_by", "nprobe"}
@@ -44,6 +45,14 @@ class Tail:
     entries: int
 
 
+@dataclass
+class Lists:
+    """Inverted lists and the segment's rows that they are of."""
+
+    index: inverted.InvertedIndex
+    rows: DataFrame
+
+
 @dataclass
 class Query:
     kind: str | None  # ann, knn, bm25, sparse, order
@@ -168,11 +177,11 @@ def query_vector(argument: Any, embedder: Callable | None) -> list[float]:
     return vector.checked(argument)
 
 
-def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None, tail: Tail | None = None, ranked: bool = False) -> Result:
+def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None, tail: Tail | None = None, ranked: bool = False, lists: Lists | None = None) -> Result:
     """One query over live rows. Aggregates cover everything that the filter keeps, not only the ranked rows.
 
     tail: what was written since the index was built; its rows are scored exactly and take the place of those in the
-    index. ranked: lists ordered by an attribute say their order, as fusion needs.
+    index, the same in lists. ranked: lists ordered by an attribute say their order, as fusion needs.
     """
     schema = schema or Schema.of(frame)
     result = Result(plan={"ranking": query.kind, "indexed": False, "filtered": query.filter is not None, "eventual_seconds": query.eventual_seconds})
@@ -189,6 +198,11 @@ def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf
             result.plan |= {"indexed": True, "nprobe": query.nprobe or index.nprobe, "clusters": len(index.centroids), "tail_rows": tail.entries if tail else 0}
         else:
             result.rows = ranking.knn(frame, wanted, metric=schema.metric, **common)
+    elif lists and query.kind in ("bm25", "sparse") and lists.index.holds(query.attribute, _text_config(schema, query)):
+        late = (tail.changed, tail.rows) if tail else (None, None)
+        search = lists.index.bm25 if query.kind == "bm25" else lists.index.sparse
+        result.rows = search(lists.rows, query.attribute, query.argument, query.top_k, query.filter, query.include, schema, *late)
+        result.plan |= {"indexed": True, "tail_rows": tail.entries if tail else 0}
     elif query.kind == "bm25":
         result.rows = ranking.bm25(frame, query.attribute, query.argument, **common)
     elif query.kind == "sparse":
@@ -201,12 +215,16 @@ def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf
     return result
 
 
-def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None, tail: Tail | None = None):
+def _text_config(schema: Schema, query: Query) -> TextConfig | None:
+    return schema.text.get(query.attribute) or TextConfig() if query.kind == "bm25" else None
+
+
+def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None, index: ivf.IvfIndex | None = None, embedder: Callable | None = None, tail: Tail | None = None, lists: Lists | None = None):
     """A Result; for several queries a list of them, or one fused Result."""
     if raw.get("queries") is None:
         if raw.get("rerank_by") is not None:
             raise Invalid("rerank_by needs queries")
-        return run(frame, parse(raw), schema, index, embedder, tail)
+        return run(frame, parse(raw), schema, index, embedder, tail, lists=lists)
     if set(raw) - {"queries", "rerank_by", "top_k", "limit", "consistency"}:
         raise Invalid("a query of several takes queries, rerank_by, top_k, limit and consistency")
     if not isinstance(raw["queries"], list) or not 1 <= len(raw["queries"]) <= MOST_QUERIES:
@@ -214,7 +232,7 @@ def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None,
     if any(isinstance(q, dict) and q.get("queries") is not None for q in raw["queries"]):
         raise Invalid("queries cannot be nested")
     fused = raw.get("rerank_by") is not None
-    found = [run(frame, parse(q, nested=True), schema, index, embedder, tail, fused) for q in raw["queries"]]
+    found = [run(frame, parse(q, nested=True), schema, index, embedder, tail, fused, lists) for q in raw["queries"]]
     if raw.get("rerank_by") is None:
         return found
     rerank = raw["rerank_by"]
@@ -228,13 +246,15 @@ def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None,
 
 
 def execute(collection, raw: dict[str, Any]):
-    """A request against a collection. ANN reads the index and, exactly, what was written since."""
+    """A request against a collection. ANN, BM25 and sparse products read the indexes and, beside them, what was written
+    since; BM25 then counts documents and terms as the last compaction found them."""
     seconds = _consistency(raw.get("consistency"))
     frame = collection.live(seconds)
     manifest = collection.manifest(seconds)
-    index = collection.index(manifest)
-    tail = Tail(*collection.tail(seconds)) if index and manifest.log else None
-    return run_all(frame, raw, manifest.schema, index, collection.embedder, tail)
+    index, listed = collection.index(manifest), collection.inverted(manifest)
+    tail = Tail(*collection.tail(seconds)) if (index or listed) and manifest.log else None
+    lists = Lists(listed, collection.segment(manifest)) if listed else None
+    return run_all(frame, raw, manifest.schema, index, collection.embedder, tail, lists=lists)
 
 
 def json_rows(rows: DataFrame) -> list[dict[str, Any]]:

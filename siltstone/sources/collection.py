@@ -20,6 +20,7 @@ from pyspark.sql import types as T
 
 from ..errors import Conflict, Invalid, NotFound, Overloaded, Unavailable
 from ..operators import filters, mutate
+from ..operators.inverted import InvertedIndex
 from ..operators.ivf import IvfIndex
 from ..schema import Schema, check_name
 from . import rows as row_source
@@ -39,6 +40,7 @@ class Manifest:
     segment: str | None = None
     segment_rows: int = 0
     index: str | None = None
+    inverted: str | None = None
     schema: Schema = field(default_factory=Schema)
     created: float = 0.0
     updated: float = 0.0
@@ -54,7 +56,7 @@ class Manifest:
         return cls(**found | {"schema": Schema.from_json(found["schema"])})
 
     def files(self) -> set[str]:
-        return {e["path"] for e in self.log} | {p for p in (self.segment, self.index) if p}
+        return {e["path"] for e in self.log} | {p for p in (self.segment, self.index, self.inverted) if p}
 
 
 class Collection:
@@ -169,6 +171,10 @@ class Collection:
             entries.append(entry)
         return entries
 
+    def segment(self, manifest: Manifest | None = None) -> DataFrame:
+        """The rows of the last compaction, which its indexes are of."""
+        return self._segment(manifest or self._required())
+
     def _segment(self, manifest: Manifest) -> DataFrame:
         schema = manifest.schema.struct()
         if not manifest.segment:
@@ -339,7 +345,7 @@ class Collection:
         return len(manifest.log) >= COMPACT_ENTRIES or self.log_bytes(manifest) >= COMPACT_BYTES
 
     def compact(self, build_index: bool = True) -> Manifest:
-        """Fold the log into a new segment, sorted by id within shards, and rebuild the vector index."""
+        """Fold the log into a new segment, sorted by id within shards, and rebuild the vector index and the inverted lists."""
         before = self._required()
         entries = list(before.log)
         path = f"segments/{uuid.uuid4().hex}"
@@ -353,13 +359,16 @@ class Collection:
         if build_index and held.filter(F.col("vector").isNotNull()).limit(1).count():
             index = f"index/{uuid.uuid4().hex}"
             IvfIndex.build(held, f"{self.path}/{index}", before.schema.metric)
+        inverted = f"index/{uuid.uuid4().hex}" if build_index else None
+        if inverted and InvertedIndex.build(held, f"{self.path}/{inverted}", before.schema, self._size(path)) is None:
+            inverted = None
         folded = {e["path"] for e in entries}
 
         def change(manifest: Manifest) -> Manifest:
             if manifest.segment != before.segment:
                 raise Conflict("another compaction came first")
             manifest.log = [e for e in manifest.log if e["path"] not in folded]
-            manifest.segment, manifest.segment_rows, manifest.index = path, count, index
+            manifest.segment, manifest.segment_rows, manifest.index, manifest.inverted = path, count, index, inverted
             return manifest
 
         return self._commit(change)
@@ -368,6 +377,10 @@ class Collection:
         manifest = manifest or self._required()
         return IvfIndex.load(self.spark, f"{self.path}/{manifest.index}") if manifest.index else None
 
+    def inverted(self, manifest: Manifest | None = None) -> InvertedIndex | None:
+        manifest = manifest or self._required()
+        return InvertedIndex.load(self.spark, f"{self.path}/{manifest.inverted}") if manifest.inverted else None
+
     def gc(self, grace_seconds: float = GRACE_SECONDS) -> int:
         """Delete data that no manifest names and that is older than the grace period; old manifests go too."""
         manifest, gone, now = self._required(), 0, time.time()
