@@ -4,26 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from ..errors import Unsupported
-
-LANGUAGES = (
-    "english french german spanish italian portuguese dutch swedish norwegian danish russian indonesian".split()
-)
-
-
-def _after_vc(word: str, vowels: str, start: int = 0) -> int:
-    """Where the region after the first non-vowel that follows a vowel begins."""
-    i, n = start, len(word)
-    while i < n and word[i] not in vowels:
-        i += 1
-    while i < n and word[i] in vowels:
-        i += 1
-    return min(i + 1, n)
-
-
-def _longest(word: str, suffixes) -> str:
-    return max((s for s in suffixes if word.endswith(s)), key=len, default="")
-
+from .regions import Stem
+from .regions import after_vc as _after_vc
+from .regions import longest as _longest
+from .romance import french, italian, portuguese, spanish
 
 # ---------------------------------------------------------------- English
 
@@ -226,6 +210,109 @@ def danish(word: str) -> str:
     return w
 
 
+# ---------------------------------------------------------------- Dutch
+
+DV = "aeiouyè"
+
+
+def _undoubled(s: Stem) -> None:
+    if s.w.endswith(("kk", "dd", "tt")):
+        s.w = s.w[:-1]
+
+
+def _dutch_en(s: Stem, suffix: str) -> None:
+    base = s.w[: len(s.w) - len(suffix)]
+    if base and base[-1] not in DV and not base.endswith("gem") and s.drop(suffix, s.r1):
+        _undoubled(s)
+
+
+def _dutch_e(s: Stem) -> bool:
+    done = len(s.w) > 1 and s.w[-2] not in DV and s.drop("e", s.r1)
+    if done:
+        _undoubled(s)
+    return done
+
+
+def dutch(word: str) -> str:
+    w = word.translate(str.maketrans("äëïöüáéíóú", "aeiouaeiou"))
+    out = list(w)
+    for i, c in enumerate(w):
+        before, after = out[i - 1] if i else "", w[i + 1] if i + 1 < len(w) else ""
+        if c == "y" and (not before or before in DV) or c == "i" and before and after and before in DV and after in DV:
+            out[i] = c.upper()
+    s = Stem("".join(out), DV, 0)
+    s.r1 = max(s.r1, 3)
+    found = s.within(0, ("heden", "en", "ene", "s", "se"))
+    if found == "heden":
+        s.drop(found, s.r1, "heid")
+    elif found in ("en", "ene"):
+        _dutch_en(s, found)
+    elif found and s.w[: -len(found)] and s.w[-len(found) - 1] not in DV + "j":
+        s.drop(found, s.r1)
+    short = _dutch_e(s)
+    if not s.w.endswith("cheid") and s.drop("heid", s.r2) and s.w.endswith("en"):
+        _dutch_en(s, "en")
+    found = s.within(0, ("end", "ing", "ig", "lijk", "baar", "bar"))
+    if found in ("end", "ing"):
+        if s.drop(found, s.r2):
+            if not (s.w.endswith("ig") and not s.w.endswith("eig") and s.drop("ig", s.r2)):
+                _undoubled(s)
+    elif found == "ig":
+        if not s.w.endswith("eig"):
+            s.drop(found, s.r2)
+    elif found == "lijk":
+        if s.drop(found, s.r2):
+            _dutch_e(s)
+    elif found == "baar" or found and short:
+        s.drop(found, s.r2)
+    w = s.w
+    if len(w) > 3 and w[-1] not in DV + "I" and w[-3:-1] in ("aa", "ee", "oo", "uu") and w[-4] not in DV:
+        w = w[:-2] + w[-1]
+    return w.lower()
+
+
+# ---------------------------------------------------------------- Russian
+
+RV = "аеиоуыэюя"
+# Fixed values of the published algorithm; those first named stand after а or я.
+R_GERUND = "в вши вшись".split(), "ив ивши ившись ыв ывши ывшись".split()
+R_ADJECTIVE = "ее ие ые ое ими ыми ей ий ый ой ем им ым ом его ого ему ому их ых ую юю ая яя ою ею".split()
+R_PARTICIPLE = "ем нн вш ющ щ".split(), "ивш ывш ующ".split()
+R_VERB = (
+    "ла на ете йте ли й л ем н ло но ет ют ны ть ешь нно".split(),
+    "ила ыла ена ейте уйте ите или ыли ей уй ил ыл им ым ен ило ыло ено ят ует уют ит ыт ены ить ыть ишь ую ю".split(),
+)
+R_NOUN = (
+    "а ев ов ие ье е иями ями ами еи ии и ией ей ой ий й иям ям ием ем ам ом о у ах иях ях ы ь ию ью ю ия ья я"
+).split()
+
+
+def _russian_pair(s: Stem, suffixes: tuple[list[str], list[str]]) -> bool:
+    """Drop the longest of two groups; of the first only after а or я."""
+    found = s.within(s.rv, suffixes[0] + suffixes[1])
+    base = s.w[s.rv : len(s.w) - len(found)]
+    return (found in suffixes[1] or base.endswith(("а", "я"))) and s.drop(found)
+
+
+def russian(word: str) -> str:
+    w = word.replace("ё", "е")
+    s = Stem(w, RV, next((i + 1 for i, c in enumerate(w) if c in RV), len(w)))
+    if not _russian_pair(s, R_GERUND):
+        s.drop(s.within(s.rv, ("ся", "сь")))
+        if s.drop(s.within(s.rv, R_ADJECTIVE)):
+            _russian_pair(s, R_PARTICIPLE)
+        elif not _russian_pair(s, R_VERB):
+            s.drop(s.within(s.rv, R_NOUN))
+    s.drop("и", s.rv)
+    s.drop(s.within(s.rv, ("ост", "ость")), s.r2)
+    found = s.within(s.rv, ("ейш", "ейше", "нн", "ь"))
+    if found == "нн":
+        s.w = s.w[:-1]
+    elif s.drop(found) and found != "ь" and s.w[s.rv :].endswith("нн"):
+        s.w = s.w[:-1]
+    return s.w
+
+
 # ---------------------------------------------------------------- Indonesian
 
 
@@ -241,15 +328,20 @@ def indonesian(word: str) -> str:
 
 STEMMERS: dict[str, Callable[[str], str]] = {
     "english": english,
+    "french": french,
     "german": german,
+    "spanish": spanish,
+    "italian": italian,
+    "portuguese": portuguese,
+    "dutch": dutch,
     "swedish": swedish,
     "norwegian": norwegian,
     "danish": danish,
+    "russian": russian,
     "indonesian": indonesian,
 }
+LANGUAGES = tuple(STEMMERS)
 
 
 def stemmer(language: str) -> Callable[[str], str]:
-    if language not in STEMMERS:
-        raise Unsupported(f"no stemmer for {language} yet; set stemming to false")
     return STEMMERS[language]

@@ -42,9 +42,8 @@ class InvertedIndex:
             if name in schema.text:
                 config = schema.text[name]
                 _written(ranking.postings(frame, name, config, schema).withColumnRenamed("term", "key"), target, buckets, files)
-                size_of = F.size(text.tokens(text.joined(F.col(f"`{name}`"), kind), config))
-                row = frame.agg(F.count(F.lit(1)).alias("n"), F.avg(F.coalesce(size_of, F.lit(0)).cast("double")).alias("a")).first()
-                own |= {"documents": row["n"], "average": row["a"] or 0.0, "config": config.to_json()}
+                n, tokens = frame.count(), spark.read.parquet(target).agg(F.sum("tf")).first()[0] or 0
+                own |= {"documents": n, "average": tokens / n if n else 0.0, "config": config.to_json()}
             elif kind == "sparse":
                 entries = frame.select("id", F.explode(F.col(f"`{name}`")).alias("key", "weight")).filter("weight <> 0")
                 _written(entries, target, buckets, files)
