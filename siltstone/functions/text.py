@@ -38,6 +38,9 @@ setiap siapa sini situ suatu sudah supaya tanpa tapi telah tentang terhadap term
 usai walau walaupun yaitu yakni yang
 """.split()
 STOPWORDS = {"english": ENGLISH_STOPWORDS, "indonesian": INDONESIAN_STOPWORDS}
+#: Tokens whose positions are sorted together, and one list more.
+TOKENS_AT_ONCE = 1_000_000
+POSITIONS = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
 SEPARATOR = "[^\\p{IsAlphabetic}\\p{N}]+"
 
 
@@ -122,17 +125,25 @@ def positions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Of a token list, each distinct token and where it stands, from 0."""
     for lists in batches:
         lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        coded = lists.flatten().dictionary_encode()
-        n, row = len(coded), np.repeat(np.arange(len(lists), dtype=np.int64), lengths)
-        place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
-        order = np.argsort(key, kind="stable")
-        first = np.flatnonzero(np.diff(key[order], prepend=-1))
-        where = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), pa.array(place[order], pa.int32()))
-        terms = coded.indices.take(pa.array(order[first]))
-        found = pa.StructArray.from_arrays([coded.dictionary.take(terms), where], ["term", "positions"])
-        edges = np.append(0, np.cumsum(np.bincount(row[order[first]], minlength=len(lists))))
-        yield pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found)
+        # whole lists, about TOKENS_AT_ONCE at a time
+        part = (np.cumsum(lengths) - lengths) // TOKENS_AT_ONCE
+        edges = [*np.flatnonzero(np.diff(part, prepend=-1)), len(lists)]
+        found = [_positions(lists.slice(a, b - a), lengths[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+        yield pa.concat_arrays(found) if found else pa.array([], POSITIONS)
+
+
+def _positions(lists: pa.Array, lengths: np.ndarray) -> pa.Array:
+    coded = lists.flatten().dictionary_encode()
+    n, row = len(coded), np.repeat(np.arange(len(lists), dtype=np.int64), lengths)
+    place = np.arange(n) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    key = row * max(1, len(coded.dictionary)) + coded.indices.to_numpy(zero_copy_only=False)
+    order = np.argsort(key, kind="stable")
+    first = np.flatnonzero(np.diff(key[order], prepend=-1))
+    where = pa.ListArray.from_arrays(pa.array(np.append(first, n), pa.int32()), pa.array(place[order], pa.int32()))
+    terms = coded.dictionary.take(coded.indices.take(pa.array(order[first])))
+    found = pa.StructArray.from_arrays([terms, where], ["term", "positions"])
+    edges = np.append(0, np.cumsum(np.bincount(row[order[first]], minlength=len(lists))))
+    return pa.ListArray.from_arrays(pa.array(edges, pa.int32()), found)
 
 
 def joined(column: Column, kind: str) -> Column:

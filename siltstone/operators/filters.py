@@ -113,33 +113,33 @@ class FilterCompiler:
             return self._any_of(column, key, kind, op, raw, element)
         if op == "Contains":
             if kind in values.ELEMENT:
-                return F.array_contains(column, _literal(self._coerced(key, raw, element), element))
-            value = self._coerced(key, raw, kind)
+                return F.array_contains(column, literal(self.coerced(key, raw, element), element))
+            value = self.coerced(key, raw, kind)
             if kind not in values.TEXTUAL:
                 return never
             return _rendered(column, kind).contains(F.lit(_rendered_value(value)))
-        value = self._coerced(key, raw, kind)
+        value = self.coerced(key, raw, kind)
         if kind == "sparse":
             if op == "Eq":
                 raise Invalid(f"filter on {key!r}: sparse vectors cannot be compared")
             return never
-        literal = _literal(value, kind)
+        wanted = literal(value, kind)
         if op == "Eq":
-            return column == literal
-        return {"Gt": column > literal, "Gte": column >= literal, "Lt": column < literal, "Lte": column <= literal}[op]
+            return column == wanted
+        return {"Gt": column > wanted, "Gte": column >= wanted, "Lt": column < wanted, "Lte": column <= wanted}[op]
 
     def _any_of(self, column: Column, key: str, kind: str, op: str, raw: Any, element: str) -> Column:
         items = raw if isinstance(raw, (list, tuple)) else [raw]
         if any(x is None for x in items):
             raise Invalid(f"filter on {key!r}: a list of values cannot hold null")
-        found = [self._coerced(key, x, element) for x in items]
+        found = [self.coerced(key, x, element) for x in items]
         if not found or kind == "sparse":
             return F.lit(False)
         if kind in values.ELEMENT:
             if op == "In":
                 return F.lit(False)
-            return F.arrays_overlap(column, F.array(*[_literal(x, element) for x in found]))
-        return column.isin(*[_literal(x, kind) for x in found])
+            return F.arrays_overlap(column, F.array(*[literal(x, element) for x in found]))
+        return column.isin(*[literal(x, kind) for x in found])
 
     def _pattern(self, column: Column, kind: str, op: str, raw: Any) -> Column:
         if kind not in values.TEXTUAL or not isinstance(raw, str):
@@ -155,7 +155,7 @@ class FilterCompiler:
         held = text.tokens(text.joined(F.col(f"`{key}`"), kind), config)
         return token_match(held, op, wanted)
 
-    def _coerced(self, key: str, raw: Any, kind: str) -> Any:
+    def coerced(self, key: str, raw: Any, kind: str) -> Any:
         try:
             return values.coerce(raw, kind)
         except Invalid as e:
@@ -188,7 +188,8 @@ def _total(predicate: Column) -> Column:
     return F.coalesce(predicate, F.lit(False))
 
 
-def _literal(value: Any, kind: str) -> Column:
+def literal(value: Any, kind: str) -> Column:
+    """A coerced value as a column of its kind."""
     if kind == "datetime":
         return F.lit(value.isoformat(sep=" ")).cast(T.TimestampNTZType())
     if kind in values.ELEMENT:

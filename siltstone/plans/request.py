@@ -184,7 +184,7 @@ def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf
     index, the same in lists. ranked: lists ordered by an attribute say their order, as fusion needs.
     """
     schema = schema or Schema.of(frame)
-    result = Result(plan={"ranking": query.kind, "indexed": False, "filtered": query.filter is not None, "eventual_seconds": query.eventual_seconds})
+    result = Result(plan={"ranking": query.kind, "indexed": False, "filtered": query.filter is not None, "prefiltered": False, "ordered": query.kind == "order", "consistent": not query.eventual_seconds, "eventual_seconds": query.eventual_seconds})
     common = {"k": query.top_k, "filter": query.filter, "include": query.include, "schema": schema}
     if query.kind in ("ann", "knn"):
         wanted = vector.checked(query_vector(query.argument, embedder), schema.dim)
@@ -202,7 +202,8 @@ def run(frame: DataFrame, query: Query, schema: Schema | None = None, index: ivf
         late = (tail.changed, tail.rows) if tail else (None, None)
         search = lists.index.bm25 if query.kind == "bm25" else lists.index.sparse
         result.rows = search(lists.rows, query.attribute, query.argument, query.top_k, query.filter, query.include, schema, *late)
-        result.plan |= {"indexed": True, "tail_rows": tail.entries if tail else 0}
+        listed = query.filter is not None and lists.index.matching(frame.sparkSession, query.filter, schema) is not None
+        result.plan |= {"indexed": True, "prefiltered": listed, "tail_rows": tail.entries if tail else 0}
     elif query.kind == "bm25":
         result.rows = ranking.bm25(frame, query.attribute, query.argument, **common)
     elif query.kind == "sparse":

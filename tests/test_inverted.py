@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import TextConfig
-from siltstone.operators import inverted, ranking
+from siltstone.operators import filters, inverted, ranking
 from siltstone.schema import Schema
 from siltstone.sources.collection import Collection
 
@@ -42,9 +42,42 @@ ASKED = [
     (["salts", "SparseKNN", {"kelp": 1.5, "laver": -1.0, "nori": 4}], {}),
     (["salts", "SparseKNN", {"dulse": 2}], {"filters": ["shelf", "NotEq", 0], "include_attributes": ["shelf"]}),
     (["salts", "SparseKNN", {}], {}),
+    (["salts", "SparseKNN", {"wrack": 2}], {"filters": ["And", [["shelf", "Eq", 1], ["id", "Lt", 70]]], "include_attributes": ["shelf"]}),
 ]
 
 
+FILTERS = [
+    (["shelf", "Eq", 2], True),
+    (["shelf", "In", [0, 2, 9]], True),
+    (["marks", "Contains", "x"], True),
+    (["marks", "ContainsAny", ["y", "z", "x"]], True),
+    (["And", [["shelf", "Eq", 1], ["marks", "Contains", "y"]]], True),
+    (["And", [["shelf", "Eq", 1], ["id", "Lt", 60]]], False),
+    (["Or", [["shelf", "Eq", 1], ["fresh", "Eq", True]]], True),
+    (["And", [["Or", [["shelf", "Eq", 1], ["marks", "Contains", "z"]]], ["fresh", "Eq", False]]], True),
+    (["Or", [["shelf", "Eq", 1], ["id", "Lt", 5]]], None),
+    (["shelf", "Eq", None], None),
+    (["Not", ["shelf", "Eq", 1]], None),
+    (["shelf", "NotIn", [1]], None),
+    (["shelf", "Gt", 1], None),
+    (["In", "Eq", 1], None),
+]
+
+
+def test_values_bound_filters(spark, tmp_path):
+    r = random.Random(8)
+    rows = [(i, None if i % 9 == 4 else i % 3, None if i % 7 == 2 else r.choices("xyz", k=i % 4), [True, False, None][i % 5 % 3]) for i in range(90)]
+    frame = spark.createDataFrame(rows, "id long, shelf long, marks array<string>, fresh boolean")
+    schema = Schema.of(frame)
+    lists = inverted.InvertedIndex.build(frame, str(tmp_path / "lists"), schema, 1 << 30)
+    for asked, exact in FILTERS:
+        found = lists.matching(spark, asked, schema)
+        assert (found and found[1]) == exact, asked
+        if found:
+            ids, want = {x["id"] for x in found[0].collect()}, {x["id"] for x in filters.apply(frame, asked, schema).collect()}
+            assert ids == want if exact else ids > want, asked
+
+
 @pytest.mark.parametrize("rank,more", ASKED)
 def test_lists_rank_like_a_scan(shelves, rank, more):
     found = shelves.query({"rank_by": rank, "top_k": 15, **more})
@@ -89,9 +122,9 @@ def test_only_the_buckets_of_the_query_are_read(spark, tmp_path):
 
 
 def test_nothing_to_list(spark, tmp_path):
-    frame = spark.createDataFrame([(1, 2)], "id long, n long")
+    frame = spark.createDataFrame([(1, 2.5)], "id long, n double")
     assert inverted.InvertedIndex.build(frame, str(tmp_path / "none"), Schema.of(frame), 0) is None
     box = Collection(spark, str(tmp_path), "plain")
     box.write({"upsert_rows": [{"id": 1, "n": 2, "note": "kelp"}]})
     box.compact()
-    assert box.inverted() is None and [r["id"] for r in box.query({"rank_by": ["note", "BM25", "kelp"]}).rows.collect()] == [1]
+    assert not box.inverted().holds("note", TextConfig()) and [r["id"] for r in box.query({"rank_by": ["note", "BM25", "kelp"]}).rows.collect()] == [1]

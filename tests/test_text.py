@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -89,6 +90,16 @@ def test_positions_of_terms(corpus):
         assert all(r["tf"] == len(r["positions"]) and r["dl"] == len(tokens) for r in found if r["id"] == row["id"])
 
 
+def test_positions_are_found_in_parts(monkeypatch):
+    monkeypatch.setattr(text, "TOKENS_AT_ONCE", 3)
+    lists = [["a", "b", "a"], None, [], ["c"] * 8, ["b", "a"], ["a"]]
+    (found,) = text.positions.func(iter([pa.array(lists, pa.list_(pa.string()))]))
+    want = [{t: [i for i, x in enumerate(own or []) if x == t] for t in own or []} for own in lists]
+    assert [{e["term"]: e["positions"] for e in row} for row in found.to_pylist()] == want
+    (none,) = text.positions.func(iter([pa.array([], pa.list_(pa.string()))]))
+    assert len(none) == 0
+
+
 @pytest.mark.parametrize(
     "op,query,want",
     [
