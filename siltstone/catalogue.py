@@ -264,6 +264,15 @@ def r_bm25_index(spark, sf_dir):
     return _rounded(lists.bm25(held, "text", RARE_TERMS, 20))
 
 
+@register("r_bm25_index_filtered", _bm25_sql("d.lang = 'en'"))
+def r_bm25_index_filtered(spark, sf_dir):
+    """The filter is answered by the list of its value, without a scan of the rows."""
+    held = documents(spark, sf_dir)
+    schema = Schema.of(held.select("id", "text", "lang"), text={"text": PLAIN})
+    lists = inverted.InvertedIndex.build(held, workspace.fresh(spark, "lists"), schema, 1)
+    return _rounded(lists.bm25(held, "text", RARE_TERMS, 20, ["lang", "Eq", "en"], ["lang"], schema))
+
+
 def _half_listed(spark: SparkSession, sf_dir: str) -> Collection:
     """English documents compacted and listed, all others still in the log."""
     collection = Collection(spark, workspace.fresh(spark, "collections"), "texts")
