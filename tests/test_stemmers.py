@@ -4,7 +4,7 @@ from hypothesis import strategies as st
 
 from siltstone.functions.stemmers import LANGUAGES, STEMMERS
 
-#: A word and its stem in turn, from the published sample vocabularies.
+#: A word and its stem in turn, recalled from the published samples.
 SAMPLES = {
     "french": (
         "continu continu continua continu continuait continu continuant continu continuation continu continuellement "
