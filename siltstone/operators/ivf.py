@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ..errors import Invalid
 from ..functions import vector
 from ..schema import Schema
-from . import filters, ranking
+from . import filters, many, ranking
 
 #: Vectors that centroids are fitted on, at most; and clusters at most.
 SAMPLE = 100_000
@@ -159,6 +159,14 @@ class IvfIndex:
             rows = rows.join(without, "id", "left_anti")
         return ranking.knn(rows.drop("cluster"), query, k, self.metric, filter, include, schema)
 
+    def search_many(self, spark: SparkSession, queries: np.ndarray, k: int = 10, nprobe: int | None = None) -> DataFrame:
+        """query (its place), id and dist of the k nearest rows in the nprobe nearest clusters of each of many queries."""
+        probed = np.zeros((len(queries), len(self.centroids)), dtype=bool)
+        for place, query in enumerate(queries):
+            probed[place, self.probe(query, nprobe)] = True
+        read = np.flatnonzero(probed.any(axis=0)).tolist()
+        return many.nearest(self.rows(spark).filter(F.col("cluster").isin(read)), queries, k, self.metric, probed)
+
     @staticmethod
     def enough(ranked: Sequence[int], nprobe: int, matches: dict[int, int], wanted: int) -> list[int]:
         """The nearest clusters that have matches: nprobe of all clusters, and on from there until `wanted` matches."""

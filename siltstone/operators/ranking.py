@@ -194,3 +194,10 @@ def recall(exact: DataFrame, approximate: DataFrame) -> DataFrame:
     found = approximate.select("id", F.lit(1).alias("__found")).distinct()
     both = exact.select("id").join(found, "id", "left")
     return both.agg(F.when(F.count(F.lit(1)) == 0, 1.0).otherwise(F.count("__found") / F.count(F.lit(1))).alias("recall"))
+
+
+def recall_of_each(exact: DataFrame, approximate: DataFrame) -> DataFrame:
+    """For many queries: how many ids the exact ranking of each has, and how many of these the other has too."""
+    found = approximate.select("query", "id", F.lit(1).alias("__found")).distinct()
+    both = exact.select("query", "id").join(found, ["query", "id"], "left")
+    return both.groupBy("query").agg(F.count("__found").alias("found"), F.count(F.lit(1)).alias("wanted"))
