@@ -30,8 +30,6 @@ MOST_CLUSTERS = 16_384
 ITERATIONS = 10
 #: Clusters that a query reads at least, if it names no number.
 DEFAULT_NPROBE = 8
-#: A filtered search goes on to further clusters until those read hold so many matching rows for each row wanted.
-MATCHES_WANTED = 40
 #: Recall wanted of CALIBRATION_K neighbours, on average over at most CALIBRATION_QUERIES vectors of the sample; 0.9 is
 #: asked of any queries, so a few hundredths more are wanted of these.
 CALIBRATED, CALIBRATION_K, CALIBRATION_QUERIES = 0.95, 20, 200
@@ -141,7 +139,7 @@ class IvfIndex:
         return np.argsort(d, kind="stable")[: max(1, nprobe)].tolist()
 
     def search(self, spark: SparkSession, query: Sequence[float], k: int = 10, nprobe: int | None = None, filter: Any = None, include=None, schema: Schema | None = None, without: DataFrame | None = None) -> DataFrame:
-        """The k nearest among the rows of the nprobe nearest clusters, and of further ones if a filter leaves few there.
+        """The k nearest among the rows of the nprobe nearest clusters; of a filtered search, the k nearest of all that match.
 
         without: ids (a frame) whose rows in the index no longer count.
         """
@@ -153,7 +151,7 @@ class IvfIndex:
         if filter is not None:
             # a row for each cluster, from the filter's columns alone
             held = filters.apply(rows, filter, schema).groupBy("cluster").agg(F.count(F.lit(1)).alias("n")).collect()
-            near = self.enough(self.probe(query, len(self.centroids)), nprobe, {r["cluster"]: r["n"] for r in held}, MATCHES_WANTED * k)
+            near = self.enough(self.probe(query, len(self.centroids)), nprobe, {r["cluster"]: r["n"] for r in held}, math.inf)
         rows = rows.filter(F.col("cluster").isin(near)) if near else rows.filter(F.lit(False))
         if without is not None:
             rows = rows.join(without, "id", "left_anti")
@@ -168,7 +166,7 @@ class IvfIndex:
         return many.nearest(self.rows(spark).filter(F.col("cluster").isin(read)), queries, k, self.metric, probed)
 
     @staticmethod
-    def enough(ranked: Sequence[int], nprobe: int, matches: dict[int, int], wanted: int) -> list[int]:
+    def enough(ranked: Sequence[int], nprobe: int, matches: dict[int, int], wanted: float) -> list[int]:
         """The nearest clusters that have matches: nprobe of all clusters, and on from there until `wanted` matches."""
         chosen, found = [], 0
         for place, cluster in enumerate(ranked):

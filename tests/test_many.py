@@ -33,3 +33,12 @@ def test_recall_is_measured_without_a_job_for_each_query(spark, monkeypatch):
     monkeypatch.setattr(ranking, "knn", None)
     found = catalogue.QUERIES["r_recall_default"](spark, "/root/testdata/sf0.001").first()
     assert found["queries"] == 5 and 0.8 < found["recall"] <= 1
+
+
+def test_filtered_searches_are_exact_however_many_rows_match(spark, tmp_path):
+    r = np.random.default_rng(11)
+    frame = spark.createDataFrame([(i, v.tolist(), i % 2) for i, v in enumerate(r.normal(size=(600, 8)).astype(np.float32))], "id long, vector array<float>, label int")
+    index = ivf.IvfIndex.build(frame, str(tmp_path / "ivf"), clusters=40)
+    for query in r.normal(size=(3, 8)).tolist():
+        want = ranking.knn(frame, query, 3, filter=["label", "Eq", 1]).collect()
+        assert index.search(spark, query, 3, 1, ["label", "Eq", 1]).collect() == want
