@@ -38,7 +38,7 @@ class Result:
 
 @dataclass
 class Tail:
-    """What was written since the last compaction: ids touched, their live rows, and the number of log entries."""
+    """What was written since the indexes were built: ids touched, their live rows, and the number of log entries."""
 
     changed: DataFrame
     rows: DataFrame
@@ -248,12 +248,12 @@ def run_all(frame: DataFrame, raw: dict[str, Any], schema: Schema | None = None,
 
 def execute(collection, raw: dict[str, Any]):
     """A request against a collection. ANN, BM25 and sparse products read the indexes and, beside them, what was written
-    since; BM25 then counts documents and terms as the last compaction found them."""
+    since; BM25 then counts documents and terms as they were when its lists were built."""
     seconds = _consistency(raw.get("consistency"))
     frame = collection.live(seconds)
     manifest = collection.manifest(seconds)
     index, listed = collection.index(manifest), collection.inverted(manifest)
-    tail = Tail(*collection.tail(seconds)) if (index or listed) and manifest.log else None
+    tail = Tail(*collection.tail(seconds)) if (index or listed) and (manifest.log or manifest.folded) else None
     lists = Lists(listed, collection.segment(manifest)) if listed else None
     return run_all(frame, raw, manifest.schema, index, collection.embedder, tail, lists=lists)
 

@@ -41,6 +41,8 @@ class Manifest:
     segment_rows: int = 0
     index: str | None = None
     inverted: str | None = None
+    #: Log entries folded into the segment since the indexes were built, which hold neither them nor what they replaced.
+    folded: list[dict[str, Any]] = field(default_factory=list)
     schema: Schema = field(default_factory=Schema)
     created: float = 0.0
     updated: float = 0.0
@@ -56,7 +58,7 @@ class Manifest:
         return cls(**found | {"schema": Schema.from_json(found["schema"])})
 
     def files(self) -> set[str]:
-        return {e["path"] for e in self.log} | {p for p in (self.segment, self.index, self.inverted) if p}
+        return {e["path"] for e in self.log + self.folded} | {p for p in (self.segment, self.index, self.inverted) if p}
 
 
 class Collection:
@@ -150,13 +152,14 @@ class Collection:
         return mutate.fold(self._entries(manifest, entries)) if entries else self._segment(manifest)
 
     def tail(self, eventual_seconds: float = 0.0) -> tuple[DataFrame, DataFrame, int]:
-        """What the log holds beside the segment: the ids it touches, their live rows, and its number of entries."""
+        """What was written since the indexes were built: the ids touched, their live rows, and the number of entries."""
         manifest = self.manifest(eventual_seconds)
         entries = self._visible(manifest, eventual_seconds)
-        log = self._log(manifest, entries)
-        changed = log.select("id").distinct()
+        late = manifest.folded + entries
+        changed = self.spark.read.schema(manifest.schema.struct()).parquet(*[f"{self.path}/{e['path']}" for e in late]).select("id").distinct()
         base = self._segment(manifest).join(changed, "id", "left_semi")
-        return changed, mutate.fold(self._with_base(base, log)), sum(e["rows"] for e in entries)
+        rows = mutate.fold(self._with_base(base, self._log(manifest, entries))) if entries else base
+        return changed, rows, sum(e["rows"] for e in late)
 
     def _visible(self, manifest: Manifest, eventual_seconds: float) -> list[dict[str, Any]]:
         if not manifest.version:
@@ -172,7 +175,7 @@ class Collection:
         return entries
 
     def segment(self, manifest: Manifest | None = None) -> DataFrame:
-        """The rows of the last compaction, which its indexes are of."""
+        """The rows of the last compaction; the indexes are of these, apart from what was folded in since they were built."""
         return self._segment(manifest or self._required())
 
     def _segment(self, manifest: Manifest) -> DataFrame:
@@ -345,7 +348,11 @@ class Collection:
         return len(manifest.log) >= COMPACT_ENTRIES or self.log_bytes(manifest) >= COMPACT_BYTES
 
     def compact(self, build_index: bool = True) -> Manifest:
-        """Fold the log into a new segment, sorted by id within shards, and rebuild the vector index and the inverted lists."""
+        """Fold the log into a new segment, sorted by id within shards, and rebuild the vector index and the inverted lists.
+
+        Without build_index both stay as they are: searches go on reading them, with their statistics, beside the rows
+        folded in since, so that what they find does not depend on when a log grew too large.
+        """
         before = self._required()
         entries = list(before.log)
         path = f"segments/{uuid.uuid4().hex}"
@@ -362,13 +369,16 @@ class Collection:
         inverted = f"index/{uuid.uuid4().hex}" if build_index else None
         if inverted and InvertedIndex.build(held, f"{self.path}/{inverted}", before.schema, self._size(path)) is None:
             inverted = None
-        folded = {e["path"] for e in entries}
+        folded, late = {e["path"] for e in entries}, []
+        if not build_index and (before.index or before.inverted):
+            index, inverted, late = before.index, before.inverted, before.folded + entries
 
         def change(manifest: Manifest) -> Manifest:
             if manifest.segment != before.segment:
                 raise Conflict("another compaction came first")
             manifest.log = [e for e in manifest.log if e["path"] not in folded]
             manifest.segment, manifest.segment_rows, manifest.index, manifest.inverted = path, count, index, inverted
+            manifest.folded = late
             return manifest
 
         return self._commit(change)
@@ -416,7 +426,7 @@ class Collection:
     def metadata(self) -> dict[str, Any]:
         """Sizes and schema from the manifest alone."""
         m = self._required()
-        return {"name": self.name, "schema": m.schema.to_json(), "segment_rows": m.segment_rows, "log_entries": len(m.log), "unindexed_bytes": self.log_bytes(m), "indexed": m.index is not None, "created": m.created, "updated": m.updated}
+        return {"name": self.name, "schema": m.schema.to_json(), "segment_rows": m.segment_rows, "log_entries": len(m.log), "unindexed_bytes": sum(e["bytes"] for e in m.log + m.folded), "indexed": m.index is not None, "created": m.created, "updated": m.updated}
 
     def warm(self) -> int:
         """Keep the segment in memory where there is room."""

@@ -128,3 +128,36 @@ def test_nothing_to_list(spark, tmp_path):
     box.write({"upsert_rows": [{"id": 1, "n": 2, "note": "kelp"}]})
     box.compact()
     assert not box.inverted().holds("note", TextConfig()) and [r["id"] for r in box.query({"rank_by": ["note", "BM25", "kelp"]}).rows.collect()] == [1]
+
+
+def test_folding_a_large_log_changes_no_search(spark, tmp_path, monkeypatch):
+    box = Collection(spark, str(tmp_path), "grown")
+    rows = [{**row, "vector": [1.0, row["id"] / 10]} for row in jars(60)]
+    box.write({"schema": {"label": {"type": "string", "full_text_search": {"stemming": False}}, "salts": "sparse"}, "upsert_rows": rows[:30]})
+    box.compact()
+    state = "label string, salts map<string, double>, shelf long, vector array<float>, id long, op string, pos int, touched array<string>"
+    new = [(r["label"], r["salts"], 5, r["vector"], r["id"], "U", 0, None) for r in rows[25:50]] + [(None, None, None, None, 3, "D", 1, None)]
+    asked = [
+        {"rank_by": ["label", "BM25", "kelp laver"], "top_k": 60, "include_attributes": ["shelf"]},
+        {"rank_by": ["label", "BM25", "kelp"], "top_k": 60, "filters": ["shelf", "Eq", 5]},
+        {"rank_by": ["salts", "SparseKNN", {"kelp": 1.5, "laver": -1.0}], "top_k": 60},
+        {"rank_by": ["vector", "ANN", [1.0, 2.0]], "top_k": 60, "nprobe": 50},
+    ]
+    small, large = box.branch("small"), box.branch("large")
+    schema = box.manifest().schema
+    small.append(spark.createDataFrame(new, state), schema)
+    monkeypatch.setattr("siltstone.sources.collection.WRITE_LIMIT", 0)
+    large.append(spark.createDataFrame(new, state), schema)
+    monkeypatch.undo()
+    assert len(small.manifest().log) == 1 and not large.manifest().log
+    for _ in range(2):
+        for request in asked:
+            a, b = small.query(request), large.query(request)
+            assert a.rows.collect() == b.rows.collect() and b.plan["indexed"] and a.plan == b.plan
+        more = {"upsert_rows": [{"id": 70, "label": "kelp kelp", "shelf": 5, "vector": [0.0, 1.0]}], "deletes": [26]}
+        small.write(more)
+        large.write(more)
+    large.gc(-1)
+    assert large.query(asked[0]).rows.collect() == small.query(asked[0]).rows.collect()
+    large.compact()
+    assert not large.manifest().folded and large.metadata()["unindexed_bytes"] == 0
