@@ -38,9 +38,10 @@ setiap siapa sini situ suatu sudah supaya tanpa tapi telah tentang terhadap term
 usai walau walaupun yaitu yakni yang
 """.split()
 STOPWORDS = {"english": ENGLISH_STOPWORDS, "indonesian": INDONESIAN_STOPWORDS}
-#: Tokens whose positions are sorted together, and one list more.
-TOKENS_AT_ONCE = 1_000_000
+#: Tokens that are stemmed, or whose positions are sorted, together, and one list more; and stems remembered at most.
+TOKENS_AT_ONCE, STEMS_KNOWN = 250_000, 200_000
 POSITIONS = pa.list_(pa.struct([("term", pa.string()), ("positions", pa.list_(pa.int32()))]))
+TERMS = T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))]))
 SEPARATOR = "[^\\p{IsAlphabetic}\\p{N}]+"
 
 
@@ -79,59 +80,101 @@ def fold(token: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFD", token) if not unicodedata.combining(c))
 
 
-def _finished(config: TextConfig):
-    """A function of token lists that stems and folds. Each distinct token of a batch is looked at once; the memory of
-    tokens lives as long as the worker's task."""
+def _stemmed(batches: Iterator[pa.Array], config: TextConfig) -> Iterator[pa.Array]:
+    """Token lists stemmed and folded, in parts. Each distinct token of a part is looked at once; the memory of tokens
+    lives as long as the worker's task."""
+    known: dict[str, str] = {}
+    stem = stemmers.stemmer(config.language) if config.stemming else str
 
-    @F.arrow_udf(T.ArrayType(T.StringType()))
-    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict[str, str] = {}
-        stem = stemmers.stemmer(config.language) if config.stemming else str
-
-        def one(token: str) -> str:
-            found = known.get(token)
-            if found is None:
-                found = stem(token)
-                if config.ascii_folding:
-                    found = fold(found)
-                if len(known) > 500_000:
-                    known.clear()
-                known[token] = found
-            return found
-
-        for lists in batches:
+    def one(token: str) -> str:
+        found = known.get(token)
+        if found is None:
+            found = stem(token)
+            if config.ascii_folding:
+                found = fold(found)
+            if len(known) > STEMS_KNOWN:
+                known.clear()
+            known[token] = found
+        return found
+
+    for batch in batches:
+        for lists, lengths in _parts(batch):
             coded = lists.flatten().dictionary_encode()
             ends = pa.array([one(t) for t in coded.dictionary.to_pylist()], pa.string())
-            lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
             edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
             yield pa.ListArray.from_arrays(pa.array(edges), ends.take(coded.indices), mask=lists.is_null())
 
+
+def _finished(config: TextConfig):
+    """A function of token lists that stems and folds."""
+
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        yield from _stemmed(batches, config)
+
+    return run
+
+
+def _finished_positions(config: TextConfig):
+    """A function of token lists that stems and folds, drops what is too long and finds positions: one pass through
+    Python, one worker a task."""
+
+    @F.arrow_udf(TERMS)
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for lists in _stemmed(batches, config):
+            ends, sizes = lists.flatten(), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+            octets = pc.binary_length(ends).to_numpy(zero_copy_only=False)
+            kept = (octets > 0) & (octets <= config.max_token_length)
+            lengths = np.bincount(np.repeat(np.arange(len(lists)), sizes)[kept], minlength=len(lists))
+            edges = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+            yield _positions(pa.ListArray.from_arrays(pa.array(edges), ends.filter(pa.array(kept))), lengths)
+
     return run
 
 
 def tokens(text: Column, config: TextConfig | None = None) -> Column:
     """The tokens of a text column, in order and with repeats; null for null."""
     config = config or TextConfig()
-    found = F.split(text if config.case_sensitive else F.lower(text), SEPARATOR)
-    stop = STOPWORDS.get(config.language, []) if config.remove_stopwords else []
-    found = F.filter(found, lambda t: (t != "") & (~t.isin(*stop) if stop else F.lit(True)))
+    found = _words(text, config)
     if config.stemming or config.ascii_folding:
         found = _finished(config)(found)
+    return _short(found, config)
+
+
+def term_positions(text: Column, config: TextConfig) -> Column:
+    """Each distinct token of a text column and where it stands among the tokens, from 0."""
+    found = _words(text, config)
+    return _finished_positions(config)(found) if config.stemming or config.ascii_folding else positions(_short(found, config))
+
+
+def _words(text: Column, config: TextConfig) -> Column:
+    found = F.split(text if config.case_sensitive else F.lower(text), SEPARATOR)
+    stop = STOPWORDS.get(config.language, []) if config.remove_stopwords else []
+    return F.filter(found, lambda t: (t != "") & (~t.isin(*stop) if stop else F.lit(True)))
+
+
+def _short(found: Column, config: TextConfig) -> Column:
     return F.filter(found, lambda t: (F.octet_length(t) > 0) & (F.octet_length(t) <= config.max_token_length))
 
 
-@F.arrow_udf(T.ArrayType(T.StructType([T.StructField("term", T.StringType()), T.StructField("positions", T.ArrayType(T.IntegerType()))])))
+@F.arrow_udf(TERMS)
 def positions(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """Of a token list, each distinct token and where it stands, from 0."""
-    for lists in batches:
-        lengths = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
-        # whole lists, about TOKENS_AT_ONCE at a time
-        part = (np.cumsum(lengths) - lengths) // TOKENS_AT_ONCE
-        edges = [*np.flatnonzero(np.diff(part, prepend=-1)), len(lists)]
-        found = [_positions(lists.slice(a, b - a), lengths[a:b]) for a, b in zip(edges, edges[1:], strict=False)]
+    for batch in batches:
+        found = [_positions(lists, lengths) for lists, lengths in _parts(batch)]
         yield pa.concat_arrays(found) if found else pa.array([], POSITIONS)
 
 
+def _parts(batch: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
+    """Whole lists of a batch with their lengths, about TOKENS_AT_ONCE tokens at a time. Stems of a part go
+    back before the next is looked at, so their memory follows the part and not the batch."""
+    lengths = pc.fill_null(pc.list_value_length(batch), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    part = (np.cumsum(lengths) - lengths) // TOKENS_AT_ONCE
+    edges = [*np.flatnonzero(np.diff(part, prepend=-1)), len(batch)]
+    for a, b in zip(edges, edges[1:], strict=False):
+        yield batch.slice(a, b - a), lengths[a:b]
+
+
 def _positions(lists: pa.Array, lengths: np.ndarray) -> pa.Array:
     coded = lists.flatten().dictionary_encode()
     n, row = len(coded), np.repeat(np.arange(len(lists), dtype=np.int64), lengths)

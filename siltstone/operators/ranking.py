@@ -94,8 +94,10 @@ def sparse_score(held: Sequence[Column], weights: Sequence[float]) -> Column:
 def postings(frame: DataFrame, attribute: str, config: text.TextConfig, schema: Schema | None = None) -> DataFrame:
     """id, dl, term, tf and positions of every term of every row, counted within the row: nothing is exchanged."""
     kind = (schema or Schema.of(frame)).types.get(attribute, "string")
-    held = frame.select("id", text.tokens(text.joined(F.col(f"`{attribute}`"), kind), config).alias("tokens"))
-    held = held.filter(F.size("tokens") > 0).select("id", F.size("tokens").alias("dl"), F.inline(text.positions(F.col("tokens"))))
+    # rows without terms are left out at the end: a filter before, also one that Spark infers, would find all terms twice
+    held = frame.select("id", text.term_positions(text.joined(F.col(f"`{attribute}`"), kind), config).alias("terms"))
+    length = F.aggregate("terms", F.lit(0), lambda total, t: total + F.size(t["positions"]))
+    held = held.select("id", length.alias("dl"), "terms").select("id", "dl", F.inline_outer("terms")).filter("term is not null")
     return held.select("id", "dl", "term", F.size("positions").cast("long").alias("tf"), "positions")
 
 

@@ -111,3 +111,15 @@ def test_positions_are_found_in_parts(monkeypatch):
 )
 def test_token_filters(corpus, op, query, want):
     assert ids(filters.apply(corpus, ["body", op, query], Schema.of(corpus))) == want
+
+
+def test_stems_pass_through_python_once_and_in_parts(corpus, monkeypatch):
+    plan = ranking.postings(corpus, "body", text.TextConfig())._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1, plan
+    monkeypatch.setattr(text, "TOKENS_AT_ONCE", 3)
+    lists = [["running", "dogs", "running"], None, [], ["x" * 50, "cats"], ["dogs"]]
+    config = text.TextConfig(max_token_length=10)
+    found = list(text._finished_positions(config).func(iter([pa.array(lists, pa.list_(pa.string()))])))
+    assert len(found) > 1 and max(len(f) for f in found) < 5
+    rows = [{e["term"]: e["positions"] for e in row} for f in found for row in f.to_pylist()]
+    assert rows == [{"run": [0, 2], "dog": [1]}, {}, {}, {"cat": [0]}, {"dog": [0]}]
