@@ -20,8 +20,8 @@ from ..functions import text, values
 from ..schema import Schema
 from . import filters, ranking
 
-#: Bytes of segment for one file of lists; and folders of a table at most.
-FILE_BYTES, MOST_BUCKETS = 128 << 20, 4096
+#: Bytes of segment, and of entries as first written, for one file of lists; and folders of a table at most.
+FILE_BYTES, ENTRY_BYTES, MOST_BUCKETS = 128 << 20, 24 << 20, 4096
 #: Kinds of values whose ids are listed, all in one table under this name.
 VALUE_KINDS, VALUES = {"bool", "uint", "int", "string", "uuid", "datetime"}, ""
 
@@ -35,29 +35,29 @@ class InvertedIndex:
 
     @classmethod
     def build(cls, frame: DataFrame, path: str, schema: Schema, size: int) -> InvertedIndex | None:
-        """Lists of all rows; size: bytes of the frame as stored. None if the schema has nothing to list."""
+        """Lists of all rows; size: bytes of the frame as stored, or less: more files are made for lists that turn out to
+        need them. None if the schema has nothing to list."""
         spark, lists = frame.sparkSession, {}
-        files = max(1, -(-size // FILE_BYTES))
-        buckets = min(MOST_BUCKETS, 1 << files.bit_length())
+        least = max(1, -(-size // FILE_BYTES))
         for name, kind in sorted(schema.types.items()):
-            own = {"folder": f"lists{len(lists)}", "buckets": buckets, "kind": kind}
+            own = {"folder": f"lists{len(lists)}", "kind": kind}
             target = f"{path}/{own['folder']}"
             if name in schema.text:
                 config = schema.text[name]
-                _written(ranking.postings(frame, name, config, schema).withColumnRenamed("term", "key"), target, buckets, files)
+                own["buckets"] = _written(ranking.postings(frame, name, config, schema).withColumnRenamed("term", "key"), target, least)
                 n, tokens = frame.count(), spark.read.parquet(target).agg(F.sum("tf")).first()[0] or 0
                 own |= {"documents": n, "average": tokens / n if n else 0.0, "config": config.to_json()}
             elif kind == "sparse":
                 entries = frame.select("id", F.explode(F.col(f"`{name}`")).alias("key", "weight")).filter("weight <> 0")
-                _written(entries, target, buckets, files)
+                own["buckets"] = _written(entries, target, least)
             else:
                 continue
             lists[name] = own
         named = [n for n, kind in sorted(schema.types.items()) if n not in schema.text and values.ELEMENT.get(kind, kind) in VALUE_KINDS]
         if named:
-            own = {"folder": "values", "buckets": buckets, "kind": "values", "names": named}
+            own = {"folder": "values", "kind": "values", "names": named}
             keys = F.filter(F.concat(*[_value_keys(n, schema.types[n]) for n in named]), lambda k: k.isNotNull())
-            _written(frame.select("id", F.explode(keys).alias("key")), f"{path}/values", buckets, files)
+            own["buckets"] = _written(frame.select("id", F.explode(keys).alias("key")), f"{path}/values", least)
             lists[VALUES] = own
         if not lists:
             return None
@@ -181,7 +181,20 @@ def _bucket(key: Column, buckets: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
-def _written(entries: DataFrame, path: str, buckets: int, files: int) -> None:
-    rows = entries.withColumn("bucket", _bucket(F.col("key"), buckets))
+def _written(entries: DataFrame, path: str, least: int) -> int:
+    """Write a table of lists and return its number of buckets.
+
+    Entries are first written as they come: that shows how many files they need, and neither the sample for the ranges
+    nor the sort works the entries out again.
+    """
+    spark, loose = entries.sparkSession, f"{path}.loose"
+    entries.write.parquet(loose)
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(loose)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files = max(least, -(-int(fs.getContentSummary(folder).getLength()) // ENTRY_BYTES))
+    buckets = min(MOST_BUCKETS, 1 << files.bit_length())
+    rows = spark.read.schema(entries.schema).parquet(loose).withColumn("bucket", _bucket(F.col("key"), buckets))
     rows = rows.repartitionByRange(files, "bucket", "key", "id").sortWithinPartitions("bucket", "key", "id")
     rows.write.partitionBy("bucket").parquet(path)
+    fs.delete(folder, True)
+    return buckets

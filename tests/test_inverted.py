@@ -161,3 +161,13 @@ def test_folding_a_large_log_changes_no_search(spark, tmp_path, monkeypatch):
     assert large.query(asked[0]).rows.collect() == small.query(asked[0]).rows.collect()
     large.compact()
     assert not large.manifest().folded and large.metadata()["unindexed_bytes"] == 0
+
+
+def test_lists_fill_as_many_files_as_their_entries_need(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(inverted, "ENTRY_BYTES", 2048)
+    frame = spark.createDataFrame([(i, f"word{i} common", {"a": 1.0, f"b{i}": 2.0}) for i in range(600)], "id long, body string, salts map<string, double>")
+    lists = inverted.InvertedIndex.build(frame, str(tmp_path / "lists"), Schema.of(frame, text={"body": TextConfig(stemming=False)}), 1)
+    for name, key in (("body", "common"), ("salts", "a")):
+        assert lists.lists[name]["buckets"] > 4 and len(lists.entries(spark, name, [key]).inputFiles()) > 1
+        assert lists.entries(spark, name, [key]).count() == 600
+    assert not list(tmp_path.glob("**/*.loose"))
